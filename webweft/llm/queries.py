@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
+from . import bpe, lzprint, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +41,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sum_of_squares(_table(spark, sf_dir, "documents"))
 
 
+def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_lz_fingerprint": op9_lz_fingerprint,
 }
 
 ORACLE_SQL: dict[str, str] = {}
