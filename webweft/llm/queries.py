@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lzprint, packing, simhash
+from . import bpe, langid, lzprint, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sum_of_squares(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_language_id": op8_language_id,
     "op9_lz_fingerprint": op9_lz_fingerprint,
 }
 
