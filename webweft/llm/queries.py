@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lzprint, packing, simhash, topk
+from . import bpe, langid, linededup, lzprint, packing, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return linededup.remove_widespread_lines(docs, removed_col="n_removed").select("doc_id", "text", "n_removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op4_token_output": op4_token_output,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
     "op9_lz_fingerprint": op9_lz_fingerprint,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +85,18 @@ ORACLE_SQL: dict[str, str] = {
         FROM scored
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
     """,
+    "op10_line_dedup": """
+        WITH lines AS (
+            SELECT rowid_ AS r, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+            FROM (SELECT row_number() OVER () AS rowid_, * FROM documents)
+        ), bad AS (
+            SELECT trim(line, ' ') AS k FROM lines WHERE trim(line, ' ') <> ''
+            GROUP BY 1 HAVING count(DISTINCT coalesce(source, '(none)')) >= 6
+        )
+        SELECT any_value(doc_id) AS doc_id,
+               coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE k IS NULL), '') AS text,
+               count(k) AS n_removed
+        FROM lines LEFT JOIN bad ON trim(line, ' ') = k
+        GROUP BY r
+    """,
 }
