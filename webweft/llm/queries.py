@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, lzprint, packing, simhash, topk
+from . import bpe, langid, linededup, lzprint, mainhtml, packing, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed sequences of all documents; the matrices come as digests."""
     packed = packing.pack_best_fit_decreasing(_table(spark, sf_dir, "documents"))
@@ -61,6 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_html_text": op2_html_text,
     "op4_token_output": op4_token_output,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
