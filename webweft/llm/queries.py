@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, lzprint, mainhtml, packing, simhash, topk
+from . import bpe, langid, linededup, lzprint, mainhtml, packing, secrets, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,20 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of candidates and secrets, digests of the secrets, and the masked text."""
+    forest = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.redact(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), forest))
+    true = F.filter("findings", lambda x: x["secret"])
+    return found.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size(true).cast("long").alias("n_secrets"),
+        F.transform(true, lambda x: F.sha2(x["value"], 256)).alias("secrets_sha256"),
+        "text",
+    )
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed sequences of all documents; the matrices come as digests."""
     packed = packing.pack_best_fit_decreasing(_table(spark, sf_dir, "documents"))
@@ -66,6 +80,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_html_text": op2_html_text,
+    "op3_secret_scan": op3_secret_scan,
     "op4_token_output": op4_token_output,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
