@@ -139,29 +139,32 @@ def _bits(value, low: int, width: int):
     return F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def band_keys(value: str, bands: int, chosen: int) -> list:
+def band_keys(value: str, bands: int, chosen: int, salt: int = 0) -> list:
     """A shard key for each choice of ``chosen`` of ``bands`` bands of a 64-bit value."""
     cuts = [64 * i // bands for i in range(bands + 1)]
     col, keys = F.col(value), []
     for number, which in enumerate(combinations(range(bands), chosen)):
         parts = [_bits(col, cuts[i], cuts[i + 1] - cuts[i]) for i in which]
-        keys.append(F.xxhash64(F.lit(number), *parts))
+        keys.append(F.xxhash64(F.lit(salt), F.lit(number), *parts))
     return keys
 
 
-def distinct_links(values: DataFrame, radius: int, bands: int = 6, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links ``u, v`` among the distinct longs of column ``value`` whose components are those of
-    all pairs within ``radius`` bits.
+def _whole(value: int | bytes) -> int:
+    """A fingerprint, kept as a signed long or as bytes, as an unsigned integer."""
+    return value & _U64 if isinstance(value, int) else int.from_bytes(value, "little")
 
-    Of ``bands`` bands at most ``radius`` can hold a differing bit, so two values within the
-    radius agree in ``bands - radius`` bands at least and share a shard. (Two shard keys that
-    collide only make one larger shard.) Each shard gives one link per value at most. Shards of
-    more than ``shard_rows`` values are dealt into parts, each of which is searched alone;
-    then what a shard's largest component doesn't yet hold is searched for in all of its parts,
-    since links within one component add nothing.
+
+def sharded_links(keys: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links ``u, v`` whose components are those of all pairs within ``radius`` bits that share
+    a shard. ``keys``: ``value`` (a fingerprint as long or binary), ``shard``; each pair once.
+
+    Each shard gives one link per value at most. Shards of more than ``shard_rows`` values are
+    dealt into parts, each of which is searched alone; then what a shard's largest component
+    doesn't yet hold is searched for in all of its parts, since links within one component add
+    nothing to it.
     """
-    spark = values.sparkSession
-    keys = values.select("value", F.explode(F.array(*band_keys("value", bands, bands - radius))).alias("shard"))
+    spark, kind = keys.sparkSession, keys.schema["value"].dataType.simpleString()
+    arrow = pa.int64() if kind == "bigint" else pa.binary()
     sizes = keys.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     keyed = keys.join(sizes, "shard").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("value"), F.col("parts")).cast("int"))
@@ -169,53 +172,67 @@ def distinct_links(values: DataFrame, radius: int, bands: int = 6, shard_rows: i
     dealt = keyed.withColumn("bucket", F.xxhash64("shard", "part")).select("bucket", "value")
     dealt = dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
 
+    def pairs(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], arrow) for i in (0, 1)], ["u", "v"])
+
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
+        out: list = []
         for _, table in grouped(batches, "bucket"):
-            out += local_links([v & _U64 for v in table.column("value").to_pylist()], radius)
+            if table.num_rows > 1:
+                own = {_whole(v): v for v in table.column("value").to_pylist()}
+                out += [(own[x], own[y]) for x, y in local_links(list(own), radius)]
             if len(out) > 50_000:
-                yield _pairs(out)
+                yield pairs(out)
                 out = []
-        yield _pairs(out)
+        yield pairs(out)
 
-    links = materialize(dealt.mapInArrow(within, "u long, v long").distinct(), "links")
+    links = materialize(dealt.mapInArrow(within, f"u {kind}, v {kind}").distinct(), "links")
     hot = keyed.filter("parts > 1")
     if hot.isEmpty():
         release(keyed)
         return links
     # Second search, in the parts of large shards only.
     roots = components(links)
-    named = hot.join(roots, hot["value"] == roots["node"], "left").select("shard", "parts", "part", "value", F.coalesce("root", "value").alias("root"))
-    largest = named.groupBy("shard", "root").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    named = named.join(largest, "shard").withColumn("asks", F.col("root") != F.col("main"))
-    trees = named.select("shard", "part", "value", "root", F.lit(False).alias("asks"))
-    asking = named.filter("asks").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "value", "root", F.lit(True).alias("asks"))
+    joined = hot.join(roots, hot["value"] == roots["node"], "left").select("shard", "parts", "part", "value", F.coalesce("root", "value").alias("root"))
+    largest = joined.groupBy("shard", "root").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    joined = joined.join(largest, "shard").withColumn("asks", F.col("root") != F.col("main"))
+    trees = joined.select("shard", "part", "value", "root", F.lit(False).alias("asks"))
+    asking = joined.filter("asks").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "value", "root", F.lit(True).alias("asks"))
     both = trees.unionByName(asking).withColumn("bucket", F.xxhash64("shard", "part")).select("bucket", "value", "root", "asks")
     both = both.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in grouped(batches, "bucket"):
-            values_, roots_, asks = (table.column(c).to_pylist() for c in ("value", "root", "asks"))
-            root_of = {v & _U64: r for v, r in zip(values_, roots_, strict=True)}
+            values, roots_, asks = (table.column(c).to_pylist() for c in ("value", "root", "asks"))
+            if not any(asks):
+                continue
+            root_of = {_whole(v): r for v, r in zip(values, roots_, strict=True)}
             tree, out = BkTree(), {}
-            for v, a in zip(values_, asks, strict=True):
+            for v, a in zip(values, asks, strict=True):
                 if not a:
-                    tree.add(v & _U64)
-            for v, a in zip(values_, asks, strict=True):
+                    tree.add(_whole(v))
+            for v, a in zip(values, asks, strict=True):
                 if a:
-                    for y in tree.within(v & _U64, radius):
-                        if root_of[y] != root_of[v & _U64]:
-                            out.setdefault((root_of[v & _U64], root_of[y]), None)
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["u", "v"])
+                    mine = root_of[_whole(v)]
+                    for y in tree.within(_whole(v), radius):
+                        if root_of[y] != mine:
+                            out[mine, root_of[y]] = None
+            yield pairs(list(out))
 
-    more = both.mapInArrow(across, "u long, v long").distinct()
+    more = both.mapInArrow(across, f"u {kind}, v {kind}").distinct()
     return links.unionByName(more)
 
 
-def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    """Links of unsigned values as signed longs."""
-    cols = [pa.array(np.array([p[i] for p in pairs], np.uint64).astype(np.int64), pa.int64()) for i in (0, 1)]
-    return pa.RecordBatch.from_arrays(cols, ["u", "v"])
+def distinct_links(values: DataFrame, radius: int, bands: int = 6, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links ``u, v`` among the distinct longs of column ``value`` whose components are those of
+    all pairs within ``radius`` bits.
+
+    Of ``bands`` bands at most ``radius`` can hold a differing bit, so two values within the
+    radius agree in ``bands - radius`` bands at least and share a shard. (Two shard keys that
+    collide only make one larger shard.)
+    """
+    keys = values.select("value", F.explode(F.array(*band_keys("value", bands, bands - radius))).alias("shard"))
+    return sharded_links(keys, radius, shard_rows)
 
 
 def near_duplicates(
@@ -241,8 +258,8 @@ def near_duplicates(
     nodes = made.groupBy(F.col("fingerprint").alias("value")).agg(F.min("doc_id").alias("least"))
     nodes = materialize(nodes, "nodes")
     roots = components(distinct_links(nodes.select("value"), radius, bands, shard_rows))
-    named = nodes.join(roots, nodes["value"] == roots["node"], "left").select("value", "least", F.coalesce("root", "value").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(ids, "root").select("value", "component_id")
+    rooted = nodes.join(roots, nodes["value"] == roots["node"], "left").select("value", "least", F.coalesce("root", "value").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = rooted.join(ids, "root").select("value", "component_id")
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return made.join(labels, made["fingerprint"] == labels["value"]).select("doc_id", digits.alias("fingerprint"), "component_id")
