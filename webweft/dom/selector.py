@@ -76,7 +76,7 @@ class Step:
             return kind == TEXT_NODE
         if self.name == "element-or-document":
             return kind != TEXT_NODE
-        return kind == ELEMENT and (self.name == "*" or doc.name[node] == self.name)
+        return kind == ELEMENT and (self.name in ("*", "") or doc.name[node] == self.name)
 
     def keep(self, doc: Document, nodes: list[int]) -> list[int]:
         for test in self.tests:
@@ -85,7 +85,8 @@ class Step:
         return nodes
 
     def matches(self, doc: Document, node: int) -> bool:
-        return self.is_named(doc, node) and all(t(doc, node, 1, 1) for t in self.tests)
+        """Whether a node is one that this step describes; without a name any kind of node may be."""
+        return (self.name == "" or self.is_named(doc, node)) and all(t(doc, node, 1, 1) for t in self.tests)
 
     def run(self, doc: Document, refs: list[Ref]) -> list[Ref]:
         if self.axis == "attribute":
@@ -299,7 +300,7 @@ class _Parser:
                 break
             else:
                 break
-        return [*before, Step(axis, name or "*", tests, deep), *after]
+        return [*before, Step(axis, name, tests, deep), *after]
 
     # -- pseudo classes
 
