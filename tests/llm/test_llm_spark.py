@@ -1,0 +1,208 @@
+"""The llm operators on Spark: odd rows, ties, skew, and brute-force versions."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from webweft.llm import bpe, graph, langid, linededup, lzprint, mainhtml, nearcopies, packing, secrets, simhash, topk
+from webweft.llm.common import materialize, tokenizer_path
+
+ODD = [(1, None), (2, ""), (3, "  \n\t"), (4, "same text here with several words in it"), (5, "same text here with several words in it"), (5, "same text here with several words in it"), (None, "no id"), (6, "x"), (7, "word " * 5000)]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, value long, bucket int, u long, `a.b` string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows that operators must bear, with extra columns whose names clash with inner ones."""
+    return spark.createDataFrame([(i, t, "en", "s", 0, "f", 1, 2, 3, "dot") for i, t in ODD], DOCS)
+
+
+def test_top_k_equals_brute_force(spark):
+    rng = np.random.default_rng(0)
+    vectors = [(i, [float(x) for x in rng.integers(-2, 3, 4) / 4]) for i in range(400)] + [(400 + i, [0.5, 0.5, 0.0, 0.0]) for i in range(200)]
+    vectors += [(900, None), (901, [1.0, float("nan"), 0.0, 0.0]), (902, [1.0]), (903, []), (904, [1.0, None, 0.0, 0.0]), (905, [float("inf"), 0.0, 0.0, 0.0]), (7, [0.5, 0.5, 0.5, 0.5])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(7)
+    got = defaultdict(list)
+    for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), 5).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)]
+    for q, a in whole:
+        if q % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q and len(b) == len(a))[:5]
+            assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(scored, 1)]
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    few = spark.createDataFrame([(50, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(few, few.filter("vec_id = 50")).collect()] == [(50, 1, 1, 131072)]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdef", k=4)) for _ in range(60)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(150)]
+        for _ in range(rng.choice([1, 2, 9])):
+            copy = list(base)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(150)] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rows = [(i, t) for i, t in enumerate([*texts, None, "", " \t", texts[0], texts[0]])] + [(3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {i: simhash.majority(simhash.shingle_hashes((t or "").encode(), 4)) for i, t in rows}
+    up = {i: i for i in prints}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    want = sorted((i, f"{prints[i]:016x}", root(i)) for i, _ in rows)
+    for shard_rows in (4096, 2):  # 2: large shards are split
+        assert sorted(map(tuple, simhash.near_duplicates(df, shard_rows=shard_rows).collect())) == want
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 103), (103, 101), (5, 5), (200, 201), (201, 200)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame([(a, b) for a, b in edges] + [(None, 1)], "u long, v long")).collect()}
+    assert all(got[i] == 0 for i in range(1, 61)) and got[101] == got[103] == 100 and got[201] == 200
+
+
+def test_near_copies_leave_one(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(4000)]
+    rows, groups = [], {}
+    for g in range(30):
+        base = [rng.choice(words) for _ in range(rng.randint(80, 300))]
+        for k in range(1 if g < 15 else 4):
+            copy = list(base)
+            if k:
+                copy[rng.randrange(len(copy))] = "changed"
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(copy), "keep"))
+    rows += [(0, rows[0][1], "keep"), (900, None, "keep"), (901, "", "keep")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    kept = nearcopies.drop_near_copies(df).collect()
+    ids = sorted(r.doc_id for r in kept)
+    assert ids == sorted([min(i for i in groups if groups[i] == g) for g in range(30)] + [900])
+    assert kept[0].asDict().keys() == {"doc_id", "text", "a.b"}
+    assert nearcopies.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_encoding(odd):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    got = bpe.encode_decode(odd, keep_ids=True).collect()
+    assert len(got) == len(ODD)
+    for r, (i, t) in zip(sorted(got, key=lambda r: (r.doc_id or 0, r.n_tokens)), sorted(ODD, key=lambda x: (x[0] or 0, len(x[1] or ""))), strict=True):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert (r.doc_id, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (i, len(ids), ids)
+        assert r.decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_packing_keeps_every_token(spark, odd):
+    got = packing.pack_sum_of_squares(odd, capacity=64).collect()
+    want = bpe.encode_decode(odd, keep_ids=True).collect()
+    assert sum(r.length for r in got) == sum(r.n_tokens + 1 for r in want)
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for own in by.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 64
+    assert len(by) <= -(-sum(r.length for r in got) // 64) + 1
+    long = next(r for r in want if r.doc_id == 7)
+    ids = np.append(np.frombuffer(long.ids, "<u4"), np.uint32(0)).astype("<u4")
+    for r in (r for r in got if r.doc_id == 7):
+        part = ids[r.start : r.start + r.length]
+        assert (r.piece, r.ids_crc32) == (r.start // 64, zlib.crc32(part.tobytes())) and len(part) == r.length
+    assert packing.pack_sum_of_squares(odd.limit(0)).count() == 0
+
+
+def test_packed_matrices_hold_the_documents(odd):
+    packed = materialize(packing.pack_best_fit_decreasing(odd, capacity=128, block_tokens=1000), "test")
+    for r in packed.collect():
+        position = np.frombuffer(r.position_ids, "<u2")
+        assert len(r.ids) == 256 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= 128
+        for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:]):
+            assert position[a:b].tolist() == list(range(b - a))
+    parts = defaultdict(list)
+    for r in packing.unpack(packed).filter("doc_id = 7").collect():
+        parts[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u2")))
+    whole = np.concatenate([p for _, p in sorted(parts[7], key=lambda x: x[0])])
+    want = bpe.encode_decode(odd.filter("doc_id = 7"), keep_ids=True).first()
+    assert whole.tolist() == [*np.frombuffer(want.ids, "<u4").tolist(), 0]
+
+
+def test_fingerprints_with_edits(spark, odd):
+    rows = sorted(((i, t or "") for i, t in ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = sorted(map(tuple, lzprint.fingerprint_with_edits(odd, buckets=4).collect()), key=repr)
+    want = []
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        a, b, c = map(lzprint.fingerprint, (t, edited, following))
+        import hashlib
+
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), lzprint.hex_of(a), lzprint.hex_of(b), lzprint.likeness(a, b), lzprint.likeness(a, c)))
+    assert got == sorted(want, key=repr)
+    assert lzprint.fingerprint_with_edits(odd.limit(0)).count() == 0
+    alone = lzprint.fingerprint_with_edits(odd.filter("doc_id = 6")).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1.0
+
+
+def test_language_query_on_odd_rows(odd):
+    got = langid.identify(odd).collect()
+    assert len(got) == len(ODD)
+    assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {1: "und", 2: "und", 3: "und"}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    assert all(0 <= r.score <= 1 for r in got)
+    assert langid.identify(odd.limit(0)).count() == 0
+    assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_widespread_lines_go(spark):
+    rows = [(i, f"own line {i}\n  Boiler plate \n\nshared by few", f"site{i}") for i in range(6)] + [(50 + i, f"other {i}\nonly here", f"site{i}") for i in range(5)]
+    rows += [(60, None, "site0"), (61, "", "site1"), (62, "Boiler plate", "site1"), (62, "Boiler plate", "site1"), (None, "Boiler plate\nkept", None)]
+    rows = [(i, t.replace("shared by few", "shared by few" if i is not None and i < 5 else "x") if t else t, s) for i, t, s in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("a.b", F.lit(1))
+    got = sorted(((r.doc_id, r.text, r.gone) for r in linededup.remove_widespread_lines(df, removed_col="gone").collect()), key=repr)
+    want = []
+    for i, t, _ in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if x.strip(" ") != "Boiler plate"]
+        want.append((i, None if t is None else "\n".join(kept), 0 if t is None else len(lines) - len(kept)))
+    assert got == sorted(want, key=repr)
+    assert linededup.remove_widespread_lines(df.limit(0)).count() == 0
+
+
+def test_secrets(spark):
+    forest = secrets.train(secrets.labelled_findings(spark, 1500), trees=8, depth=5)
+    code = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'see token = "{code}" and more'), (2, f"commit {code} was fine"), (3, None), (4, ""), (5, "plain words only " * 400), (6, f'TOKEN = "{code.upper()}"!! {code}'), (7, "number 4785380592391139 here")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("_w", F.lit(1)).withColumn("a.b", F.lit(2)), forest)
+    got = {r.doc_id: r for r in secrets.redact(found).collect()}
+    assert got[1].text == 'see token = "[SECRET]" and more' and got[2].text == rows[1][1] and got[7].text == rows[6][1]
+    assert got[3].text is None and got[3].findings == [] and got[4].findings == [] and got[5].findings == []
+    assert code.upper() not in got[6].text
+    assert secrets.scan(spark.createDataFrame([], "doc_id long, text string"), forest).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+    # held-out findings: other row numbers than those of training
+    labelled = secrets.labelled_findings(spark, 3000).offset(1500)
+    judged = secrets.scan(labelled, forest).select("secret", F.explode("findings").alias("f")).groupBy().agg(F.avg((F.col("secret") == F.col("f.secret").cast("int")).cast("int"))).first()[0]
+    assert judged > 0.97
+
+
+def test_pages(spark):
+    rows = [(1, "u", "<article><p>a</p><p>b &amp; c</article><footer>f</footer>"), (2, "u", None), (3, None, ""), (1, "u", "<nav>x</nav>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text, r.n_chars) for r in mainhtml.extract(df).collect()) == [(1, "", 0), (1, "a b & c", 7), (2, "", 0), (3, "", 0)]
