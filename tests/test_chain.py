@@ -147,3 +147,47 @@ def test_nulls_and_empty_tables(spark):
     some = spark.createDataFrame([(1, None, None), (2, "http://h", ""), (3, "http://h", "<a>x")], "page_id long, url string, html string")
     assert rows(w.over(some).find("a").set("t").to_df()) == [(3, "x")]
     assert rows(w.over(some.limit(0)).find("a").set("t").to_df()) == []
+
+
+def test_partial_nested_rows(pages):
+    strict, loose = w.find("a").contains("1"), w.find("a").contains("1").partial()
+    assert rows(w.over(pages).filter("div").set({"x": strict, "y": loose}).to_df()) == [(1, ["1"], ["1", "2"])]
+
+
+def test_fetcher_settings():
+    fetcher = w.HttpFetcher(headers={"a": "1"}).with_options(w.config({"tries": 5, "auth": ("u", "p")}).header("b", "2").cookie("c", "3").proxy("http://p").delay(0.5).options)
+    assert (fetcher.tries, fetcher.proxies, fetcher.delay) == (5, ("http://p",), 0.5)
+    ask = fetcher.request("http://h/ä b?x=1", "post")
+    assert (ask.full_url, ask.data, ask.get_method()) == ("http://h/%C3%A4%20b", b"x=1", "POST")
+    assert ask.headers["A"] == "1" and ask.headers["B"] == "2" and ask.headers["Cookie"] == "c=3" and ask.headers["Authorization"] == "Basic dTpw"
+
+
+def test_live_fetch(spark):
+    """Against a server in this process: redirects, statuses and repeated links."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            found = {"/": "<a href=/x>1</a><a href=/x>2</a><a href=/r>3</a><a href=/no>4</a>", "/x": "<title>x</title>"}.get(self.path)
+            self.send_response(302 if self.path == "/r" else 200 if found else 404)
+            if self.path == "/r":
+                self.send_header("Location", "/x")
+            self.end_headers()
+            self.wfile.write((found or "").encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}/"
+        df = w.get(base).follow("a").set("t", "title").to_df(w.HttpFetcher(tries=1, concurrency=2), spark=spark)
+        assert rows(df) == [("x",)] * 3
+        assert asked.count("/no") == 1
+    finally:
+        server.shutdown()

@@ -41,6 +41,7 @@ class Chain:
     steps: tuple[S.Step, ...] = ()
     pages: DataFrame | None = None
     key: str | None = None
+    keeps_partial: bool = False
 
     # ---------------------------------------------------------------- building
 
@@ -117,6 +118,11 @@ class Chain:
         """Apply a function of (node, data); ``fields`` types what it sets in data."""
         return self._with(S.Then(call, dict(fields or {}), on_document))
 
+    def partial(self) -> Chain:
+        """As a nested chain within one document: rows that an operator drops still leave what
+        they have gathered, or their text if that is nothing."""
+        return replace(self, keeps_partial=True)
+
     def process_response(self, change: Callable[[Column], Column]) -> Chain:
         """Change the markup of the documents that the operators before have loaded, as a column."""
         return self._with(S.Note("process_response", change))
@@ -160,6 +166,8 @@ class Chain:
             if isinstance(s, S.Note) and s.kind == "config":
                 for k, v in s.value.items():
                     out[k] = {n: x for n, x in {**out.get(k, {}), **v}.items() if x is not None} if isinstance(v, dict) else v
+            elif isinstance(s, S.Note) and s.kind == "delay":
+                out["delay"] = s.value
         return out
 
     @property
@@ -198,7 +206,7 @@ class Chain:
 
     def local_values(self, node: Node) -> list:
         """Results of a nested chain that stays in its document."""
-        rows = S.run_local(self.steps, S.Row(node, {}), True, [])
+        rows = S.run_local(self.steps, S.Row(node, {}), True, [], partial=self.keeps_partial)
         if not self.data_type.fields:
             return [r.node.text() for r in rows]
         return [r.data for r in rows if any(v is not None and v != [] for v in r.data.values())]
@@ -211,7 +219,7 @@ class Chain:
         ``store`` answers requests: a Snapshot, or a DataFrame of pages. ``with_request`` adds
         ``request``, the URL, parameters and number of the page that a row comes from.
         """
-        state = _compile(_started(self, store, spark), self.steps, _store(store), False)
+        state = _compile(_started(self, store, spark), self.steps, _store(store, self.options), False)
         extra = [F.struct(F.col("_url").alias("url"), F.col("_rparams").alias("params"), F.col("_count").alias("count")).alias("request")] if with_request else []
         fields = [F.col("_data")[n].alias(n) for n in state.fields.fieldNames()]
         return state.df.select(*[f"`{c}`" for c in state.keep], *fields, *extra)
@@ -219,7 +227,7 @@ class Chain:
     def errors(self, store: Any = None, spark: SparkSession | None = None) -> DataFrame:
         """``_src, message``: what the chain could not find or load, as the log would have it."""
         found: list[DataFrame] = []
-        _compile(_started(self, store, spark), self.steps, _store(store), False, found)
+        _compile(_started(self, store, spark), self.steps, _store(store, self.options), False, found)
         out = found[0] if found else None
         for f in found[1:]:
             out = out.unionByName(f)
@@ -276,8 +284,10 @@ class _State:
     fields: T.StructType
 
 
-def _store(store: Any):
-    return Snapshot(store) if isinstance(store, DataFrame) else store
+def _store(store: Any, options: dict):
+    """What answers requests, with the chain's options over its own settings."""
+    store = Snapshot(store) if isinstance(store, DataFrame) else store
+    return store.with_options(options) if hasattr(store, "with_options") else store
 
 
 def _started(chain: Chain, store: Any, spark: SparkSession | None) -> _State:
@@ -432,6 +442,8 @@ def _assembled(spec: Any, local: Column, remote: dict[int, Column]) -> Column:
 
 def _gathered(state: _State, chain: Chain, store: Any) -> tuple[DataFrame, list[str]]:
     """Results of a nested chain by parent row: parent's keys and ``_values``, in order."""
+    if chain.keeps_partial:
+        raise NotImplementedError("partial() is for nested chains that stay in their document")
     depth = sum(c.startswith("_parent_src") for c in state.keep)
     src, order = f"_parent_src{depth}", f"_parent_ord{depth}"
     parents = state.df.select("*", F.col("_src").alias(src), F.col("_ord").alias(order)).withColumn("_data", F.lit(None).cast("struct<_:boolean>"))

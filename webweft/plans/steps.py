@@ -201,10 +201,15 @@ class Request(Step):
         return self.kind
 
 
-def run_local(steps: tuple, row: Row, nested: bool, errors: list[str], at: int = 0) -> Iterator[Row]:
-    """All rows that come out of a run of local steps."""
+def run_local(steps: tuple, row: Row, nested: bool, errors: list[str], at: int = 0, partial: bool = False) -> Iterator[Row]:
+    """All rows that come out of a run of local steps; with ``partial`` also those that a step
+    gives nothing for, as they were before it."""
     if at == len(steps):
         yield row
         return
+    some = False
     for out in steps[at].run(row, nested, errors):
-        yield from run_local(steps, out, nested, errors, at + 1)
+        some = True
+        yield from run_local(steps, out, nested, errors, at + 1, partial)
+    if partial and not some:
+        yield row

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,9 @@ class Snapshot:
     redirects: DataFrame | None = None
     ignore_http_errors: bool = False
 
+    def with_options(self, options: dict) -> Snapshot:
+        return replace(self, ignore_http_errors=options.get("ignore_http_errors", self.ignore_http_errors))
+
     def answer(self, requests: DataFrame, outer: bool = False) -> DataFrame:
         """``requests`` (with ``_rurl``, ``_method``) joined with ``_nurl, _nhtml, _status``.
 
@@ -73,28 +77,51 @@ class Snapshot:
 class HttpFetcher:
     """Loads pages over HTTP in Arrow batches, at most ``concurrency`` tasks at a time.
 
-    Off unless given to a chain. ``repeat`` False asks for each URL once and joins the answers
-    back, so repeated links cost one request.
+    Off unless given to a chain. Each URL is asked for once and the answers are joined back, so
+    repeated links cost one request. ``user_agent`` may be a function, called once per request.
+    Proxies are taken in turn; one that fails is not tried again for that request. ``delay``
+    spaces the requests of a task, in seconds. A redirect's last URL becomes the document's.
     """
 
     tries: int = TRIES
     timeout_s: float = TIMEOUT_S
     concurrency: int = CONCURRENCY
-    user_agent: str = "webweft"
-    headers: tuple = ()
+    redirects: int = REDIRECTS
+    user_agent: str | Callable[[], str] = "webweft"
+    headers: dict | None = None
+    cookies: dict | None = None
+    auth: tuple[str, str] | None = None
+    proxies: tuple[str, ...] = ()
+    delay: float = 0
     ignore_http_errors: bool = False
-    repeat: bool = False
+
+    #: Names under which chains know the settings.
+    OPTIONS: ClassVar[dict[str, str]] = {
+        "tries": "tries", "timeout": "timeout_s", "concurrency": "concurrency", "follow": "redirects", "user_agent": "user_agent", "headers": "headers",
+        "cookies": "cookies", "proxies": "proxies", "delay": "delay", "ignore_http_errors": "ignore_http_errors", "auth": "auth",
+    }
+
+    def with_options(self, options: dict) -> HttpFetcher:
+        """These settings with a chain's options over them; maps are merged."""
+        new = {}
+        for name, field in self.OPTIONS.items():
+            if name in options:
+                value, now = options[name], getattr(self, field)
+                new[field] = {**(now or {}), **value} if isinstance(value, dict) else tuple(value) if isinstance(value, list) else value
+        return replace(self, **new)
 
     def answer(self, requests: DataFrame, outer: bool = False) -> DataFrame:
         settings = self
 
         def load(batches: Iterator) -> Iterator:
             for pdf in batches:
-                got = [settings.fetch(u, m) for u, m in zip(pdf["_furl"], pdf["_fmethod"], strict=True)]
+                got = []
+                for url, method in zip(pdf["_furl"], pdf["_fmethod"], strict=True):
+                    got.append(settings.fetch(url, method))
+                    time.sleep(settings.delay)
                 yield pdf.assign(_nurl=[g[0] for g in got], _nhtml=[g[1] for g in got], _status=[g[2] for g in got])
 
-        asked = requests.select(F.col("_rurl").alias("_furl"), F.col("_method").alias("_fmethod"))
-        asked = (asked if self.repeat else asked.distinct()).distinct().repartition(self.concurrency)
+        asked = requests.select(F.col("_rurl").alias("_furl"), F.col("_method").alias("_fmethod")).distinct().repartition(self.concurrency)
         answers = asked.mapInPandas(load, "_furl string, _fmethod string, _nurl string, _nhtml string, _status int")
         on = (F.col("_rurl") == F.col("_furl")) & (F.col("_method") == F.col("_fmethod"))
         found = requests.join(answers, on, "left" if outer else "inner").drop("_furl", "_fmethod")
@@ -104,25 +131,42 @@ class HttpFetcher:
         fine = F.length("_nhtml") > 0
         return fine if self.ignore_http_errors else fine & ~F.col("_status").between(400, 500)
 
-    def fetch(self, url: str, method: str) -> tuple[str, str | None, int | None]:
-        import urllib.error
+    def request(self, url: str, method: str):
+        """The request as the standard library knows it: parameters in the body of a post."""
+        import base64
         import urllib.request
         from urllib.parse import quote, urlsplit, urlunsplit
 
         parts = urlsplit(url)
-        safe = urlunsplit((parts.scheme, parts.netloc, quote(parts.path, safe="/%:@!$&'()*+,;=~-._"), parts.query, ""))
-        body = None
-        if method == "post":
-            body, safe = parts.query.encode(), safe.split("?")[0]
-        ask = urllib.request.Request(safe, data=body, method=method.upper(), headers={"User-Agent": self.user_agent, **dict(self.headers)})
+        path = quote(parts.path, safe="/%:@!$&'()*+,;=~-._")
+        body = parts.query.encode() if method == "post" else None
+        safe = urlunsplit((parts.scheme, parts.netloc, path, "" if method == "post" else quote(parts.query, safe="/%:@!$&'()*+,;=~-._?"), ""))
+        agent = self.user_agent() if callable(self.user_agent) else self.user_agent
+        headers = {"User-Agent": agent, **(self.headers or {})}
+        if self.cookies:
+            headers["Cookie"] = "; ".join(f"{k}={v}" for k, v in self.cookies.items())
+        if self.auth:
+            headers["Authorization"] = "Basic " + base64.b64encode(":".join(self.auth).encode()).decode()
+        return urllib.request.Request(safe, data=body, method=method.upper(), headers=headers)
+
+    def fetch(self, url: str, method: str) -> tuple[str, str | None, int | None]:
+        """URL in the end, body and status; nulls if there was no answer in ``tries`` attempts."""
+        import urllib.error
+        import urllib.request
+
+        ask, proxies, last = self.request(url, method), list(self.proxies), (url, None, None)
         for attempt in range(self.tries):
+            redirect = urllib.request.HTTPRedirectHandler()
+            redirect.max_redirections = self.redirects
+            proxy = proxies[attempt % len(proxies)] if proxies else None
+            opener = urllib.request.build_opener(redirect, *([urllib.request.ProxyHandler({"http": proxy, "https": proxy})] if proxy else []))
             try:
-                with urllib.request.urlopen(ask, timeout=self.timeout_s) as r:
-                    kind = r.headers.get_content_charset() or "utf-8"
-                    return r.geturl(), r.read().decode(kind, "replace"), r.status
+                with opener.open(ask, timeout=self.timeout_s) as r:
+                    return r.geturl(), r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), r.status
             except urllib.error.HTTPError as e:
                 last = (url, e.read().decode("utf-8", "replace"), e.code)
             except (OSError, ValueError):
                 last = (url, None, None)
+                proxies = [p for p in proxies if p != proxy] or proxies
             time.sleep(min(2**attempt * 0.1, 2))
         return last
