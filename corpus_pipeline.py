@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from webweft.llm import langid, linededup, nearcopies, packing, secrets
-from webweft.llm.common import materialize, named
+from webweft.llm.common import fresh_name, materialize, named
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter and the ambiguous go."""
-    found = langid.predict(docs, langid.train(docs))
-    kept = found.filter((found["lang_pred"] != langid.UNDETERMINED) & ~found["ambiguous"])
+    lang, score, unsure = (fresh_name(docs, n) for n in ("_lang", "_score", "_unsure"))
+    found = langid.predict(docs, langid.train(docs), out=lang, score=score, ambiguous=unsure)
+    kept = found.filter((found[lang] != langid.UNDETERMINED) & ~found[unsure])
     return kept.select(*map(named, docs.columns))
 
 
@@ -28,7 +29,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts masked."""
     forest = secrets.train(secrets.labelled_findings(spark))
-    return secrets.redact(secrets.scan(docs, forest)).select(*map(named, docs.columns))
+    findings = fresh_name(docs, "_findings")
+    found = secrets.scan(docs, forest, findings_col=findings)
+    return secrets.redact(found, findings_col=findings).select(*map(named, docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def test_stages(spark):
         lang = ("en", "fr")[i % 2]
         rows.append((i, f"The same notice on all sites.\n{' '.join(rng.choices(vocab[lang], k=60))}", lang, f"src{i % 8}", 0))
     rows += [(100, rows[0][1], "en", "src1", 0), (101, "123 456 !!", "en", "src1", 0), (102, None, None, "src2", 0), (103, 'abc def token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" gah', "en", "src3", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"lang_pred": F.lit("x"), "findings": F.lit(1), "_found": F.lit(2), "a.b": F.lit(3)})
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, materialize(stage(spark, docs, ""), f"test-{name}")

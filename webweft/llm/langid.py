@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name, named
+
 UNDETERMINED = "und"
 #: Training rows for each language in expectation, of at most so many characters, and languages:
 #: together they bound what the driver collects to fit the classifiers.
@@ -179,8 +181,9 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "lan
 
         return pd.DataFrame([model.predict(t) for t in texts], columns=[out, score, ambiguous])
 
-    kept = [c for c in df.columns]
-    return df.withColumn("_found", classify(F.col(text_col).cast("string"))).select(*kept, "_found.*")
+    found = fresh_name(df, "_found")
+    made = df.withColumn(found, classify(named(text_col).cast("string")))
+    return made.select(*map(named, df.columns), f"{found}.*")
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
