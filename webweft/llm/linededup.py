@@ -17,6 +17,8 @@ MIN_SITES = 6
 SKETCH_LOG2 = 12
 #: Estimates within this share of the threshold are counted exactly; ten standard errors at least.
 MARGIN = 0.25
+#: Up to so many widespread lines (80 kB of hashes) are sent to the tasks; more are joined.
+SENT_KEYS = 10_000
 
 
 def _lines(text: Column) -> Column:
@@ -50,25 +52,38 @@ def remove_widespread_lines(df: DataFrame, text_col: str = "text", site_col: str
     line stays as it is, one of such lines only becomes empty. Repeated rows stay repeated. An
     empty table gives an empty table.
 
-    What is joined with the texts is, per text that holds any, the array of its widespread
-    lines' hashes, so each text is one row at any time and only rows with a hit are rewritten.
+    Texts are rewritten where they are: widespread lines are few, and their hashes go to the
+    tasks. Only if there are more than SENT_KEYS, each text is joined with the array of its own
+    widespread lines' hashes. Either way a text is one row at any time.
     """
     own, bad_col = fresh_name(df, "_text_key"), fresh_name(df, "_bad_lines")
     text_of = named(text_col)
     slim = df.select(text_of.cast("string").alias("text"), named(site_col).alias("site"))
     keys = materialize(widespread(slim, "text", "site", min_sites), "widespread")
-    # Rows of one text have the same lines: a text's own hash leads back to it (texts that collide
-    # would share their hashes, and a hash only takes out lines that are widespread anyway).
-    hits = slim.filter("text is not null").select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("key"))
-    bad = hits.join(keys, "key", "left_semi").distinct().groupBy("t").agg(F.collect_list("key").alias("keys"))
-    bad = materialize(bad, "bad-lines").select(F.col("t").alias(own), F.col("keys").alias(bad_col))
     text = text_of.cast("string")
-    joined = df.withColumn(own, F.xxhash64(text)).join(bad, own, "left")
-    kept = F.filter(_lines(text), lambda x: ~F.array_contains(F.col(bad_col), _key(x)))
-    new_text = F.when(F.col(bad_col).isNull() | text.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    sent = [r["key"] for r in keys.limit(SENT_KEYS + 1).collect()]
+    if len(sent) <= SENT_KEYS:
+        step = df
+        touched, is_bad = text.isNotNull(), lambda x: _key(x).isin(sent)
+    else:
+        step = df.withColumn(own, F.xxhash64(text)).join(_bad_lines(slim, keys, own, bad_col), own, "left")
+        touched, is_bad = text.isNotNull() & F.col(bad_col).isNotNull(), lambda x: F.array_contains(F.col(bad_col), _key(x))
+    kept = F.filter(_lines(text), lambda x: ~is_bad(x))
+    new_text = F.when(touched, F.array_join(kept, "\n")).otherwise(text)
     out = {c: (new_text.alias(c) if c == text_col else named(c)) for c in df.columns}
     extra = []
     if removed_col:
-        n = F.when(F.col(bad_col).isNull() | text.isNull(), F.lit(0)).otherwise(F.size(_lines(text)) - F.size(kept))
+        n = F.when(touched, F.size(_lines(text)) - F.size(kept)).otherwise(0)
         extra.append(n.cast("long").alias(removed_col))
-    return joined.select(*out.values(), *extra)
+    return step.select(*out.values(), *extra)
+
+
+def _bad_lines(slim: DataFrame, keys: DataFrame, own: str, bad_col: str) -> DataFrame:
+    """By a text's own hash, the hashes of its widespread lines, for texts that hold any.
+
+    Rows of one text have the same lines, so its hash leads back to it (texts that collide would
+    share their hashes, and a hash only takes out lines that are widespread anyway).
+    """
+    hits = slim.filter("text is not null").select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("key"))
+    bad = hits.join(keys, "key", "left_semi").distinct().groupBy("t").agg(F.collect_list("key").alias("keys"))
+    return materialize(bad, "bad-lines").select(F.col("t").alias(own), F.col("keys").alias(bad_col))
