@@ -70,12 +70,15 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = df.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), signed("text").alias("s")).select("doc_id", "text_key", "s.*")
     rows = materialize(rows, "signatures")
-    nodes = rows.groupBy(F.col("measured").alias("value")).agg(F.min("r0").alias("r0"), F.min("r1").alias("r1"))
+    # A number stands for each fingerprint wherever it is not itself needed.
+    nodes = rows.groupBy(F.col("measured").alias("print")).agg(F.min("r0").alias("r0"), F.min("r1").alias("r1"))
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     keys = [k for r, name in enumerate(("r0", "r1")) for k in band_keys(name, ROUTE_BANDS, ROUTE_CHOSEN, r)]
-    keyed = nodes.select("value", F.explode(F.array(*keys)).alias("shard"))
-    roots = components(sharded_links(keyed, radius_of(similarity), DENSE_ROWS))
+    keyed = nodes.select("id", F.explode(F.array(*keys)).alias("shard"))
+    roots = components(sharded_links(keyed, radius_of(similarity), DENSE_ROWS, nodes.select("id", "print")))
+    rooted = nodes.join(roots, nodes["id"] == roots["node"], "left").select("print", F.coalesce("root", "id").alias("group"))
     once = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.min("measured").alias("measured"))
-    return once.join(roots, once["measured"] == roots["node"], "left").select("doc_id", "text_key", "n", F.coalesce("root", "measured").alias("group"))
+    return once.join(rooted, once["measured"] == rooted["print"]).select("doc_id", "text_key", "n", "group")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

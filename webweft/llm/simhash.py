@@ -154,56 +154,61 @@ def _whole(value: int | bytes) -> int:
     return value & _U64 if isinstance(value, int) else int.from_bytes(value, "little")
 
 
-def sharded_links(keys: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def sharded_links(keys: DataFrame, radius: int, shard_rows: int = SHARD_ROWS, prints: DataFrame | None = None) -> DataFrame:
     """Links ``u, v`` whose components are those of all pairs within ``radius`` bits that share
-    a shard. ``keys``: ``value`` (a fingerprint as long or binary), ``shard``; each pair once.
+    a shard. ``keys``: ``id`` (long), ``shard``; each pair once. ``prints`` has each id's
+    fingerprint as binary ``print``, all different; without it the ids are the fingerprints.
 
-    Each shard gives one link per value at most. Shards of more than ``shard_rows`` values are
+    Each shard gives one link per fingerprint at most. Shards of more than ``shard_rows`` are
     dealt into parts, each of which is searched alone; then what a shard's largest component
     doesn't yet hold is searched for in all of its parts, since links within one component add
     nothing to it.
     """
-    spark, kind = keys.sparkSession, keys.schema["value"].dataType.simpleString()
-    arrow = pa.int64() if kind == "bigint" else pa.binary()
+    spark = keys.sparkSession
     sizes = keys.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = keys.join(sizes, "shard").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
-    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("value"), F.col("parts")).cast("int"))
-    keyed = materialize(keyed.select("shard", "parts", "part", "value"), "shards")
-    dealt = keyed.withColumn("bucket", F.xxhash64("shard", "part")).select("bucket", "value")
+    # Always a merge join, whose hot keys Spark can split: the other side grows with the input too.
+    keyed = keys.join(sizes.hint("merge"), "shard").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("shard", "parts", "part", "id")
+    keyed = materialize(keyed, "shards")
+
+    def printed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("print", F.col("id")) if prints is None else rows.join(prints, "id")
+
+    dealt = printed(keyed.withColumn("bucket", F.xxhash64("shard", "part")).select("bucket", "id"))
     dealt = dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
 
     def pairs(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], arrow) for i in (0, 1)], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list = []
         for _, table in grouped(batches, "bucket"):
             if table.num_rows > 1:
-                own = {_whole(v): v for v in table.column("value").to_pylist()}
+                own = {_whole(p): i for p, i in zip(table.column("print").to_pylist(), table.column("id").to_pylist(), strict=True)}
                 out += [(own[x], own[y]) for x, y in local_links(list(own), radius)]
             if len(out) > 50_000:
                 yield pairs(out)
                 out = []
         yield pairs(out)
 
-    links = materialize(dealt.mapInArrow(within, f"u {kind}, v {kind}").distinct(), "links")
+    links = materialize(dealt.mapInArrow(within, "u long, v long").distinct(), "links")
     hot = keyed.filter("parts > 1")
     if hot.isEmpty():
         release(keyed)
         return links
     # Second search, in the parts of large shards only.
     roots = components(links)
-    joined = hot.join(roots, hot["value"] == roots["node"], "left").select("shard", "parts", "part", "value", F.coalesce("root", "value").alias("root"))
+    joined = hot.join(roots, hot["id"] == roots["node"], "left").select("shard", "parts", "part", "id", F.coalesce("root", "id").alias("root"))
     largest = joined.groupBy("shard", "root").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     joined = joined.join(largest, "shard").withColumn("asks", F.col("root") != F.col("main"))
-    trees = joined.select("shard", "part", "value", "root", F.lit(False).alias("asks"))
-    asking = joined.filter("asks").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "value", "root", F.lit(True).alias("asks"))
-    both = trees.unionByName(asking).withColumn("bucket", F.xxhash64("shard", "part")).select("bucket", "value", "root", "asks")
+    trees = joined.select("shard", "part", "id", "root", F.lit(False).alias("asks"))
+    asking = joined.filter("asks").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "root", F.lit(True).alias("asks"))
+    both = printed(trees.unionByName(asking).withColumn("bucket", F.xxhash64("shard", "part")).select("bucket", "id", "root", "asks"))
     both = both.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in grouped(batches, "bucket"):
-            values, roots_, asks = (table.column(c).to_pylist() for c in ("value", "root", "asks"))
+            values, roots_, asks = (table.column(c).to_pylist() for c in ("print", "root", "asks"))
             if not any(asks):
                 continue
             root_of = {_whole(v): r for v, r in zip(values, roots_, strict=True)}
@@ -219,7 +224,7 @@ def sharded_links(keys: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) ->
                             out[mine, root_of[y]] = None
             yield pairs(list(out))
 
-    more = both.mapInArrow(across, f"u {kind}, v {kind}").distinct()
+    more = both.mapInArrow(across, "u long, v long").distinct()
     return links.unionByName(more)
 
 
@@ -231,7 +236,7 @@ def distinct_links(values: DataFrame, radius: int, bands: int = 6, shard_rows: i
     radius agree in ``bands - radius`` bands at least and share a shard. (Two shard keys that
     collide only make one larger shard.)
     """
-    keys = values.select("value", F.explode(F.array(*band_keys("value", bands, bands - radius))).alias("shard"))
+    keys = values.select(F.col("value").alias("id"), F.explode(F.array(*band_keys("value", bands, bands - radius))).alias("shard"))
     return sharded_links(keys, radius, shard_rows)
 
 
