@@ -33,10 +33,11 @@ def _key(line: Column) -> Column:
 def widespread(rows: DataFrame, text: str, site: str, min_sites: int = MIN_SITES) -> DataFrame:
     """``key`` of each line, blank ones aside, that occurs on ``min_sites`` sites or more."""
     lines = rows.select(F.xxhash64(F.col(site)).alias("site"), F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""), _key))).alias("key"))
-    # Most lines have one site only: smallest and largest site hash are then the same, and no
-    # sketch is needed. Every task adds up its own rows before anything is shuffled.
-    spans = lines.groupBy("key").agg(F.min("site").alias("a"), F.max("site").alias("b")).filter("a <> b").select("key")
-    several = materialize(lines.join(spans, "key", "left_semi").groupBy("key", "site").agg(F.lit(1).alias("one")).select("key", "site"), "lines")
+    # Every task first adds up its own rows, so a common line is as many rows as it has sites. Most
+    # lines have one site only: smallest and largest site hash are then the same, and no sketch is needed.
+    pairs = lines.distinct()
+    spans = pairs.groupBy("key").agg(F.min("site").alias("a"), F.max("site").alias("b")).filter("a <> b").select("key")
+    several = materialize(pairs.join(spans, "key", "left_semi").select("key", "site"), "lines")
     spread = several.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_LOG2)).alias("about"))
     spread = spread.filter(F.col("about") >= min_sites * (1 - MARGIN)).withColumn("sure", F.col("about") > min_sites * (1 + MARGIN))
     exact = several.join(spread.filter("not sure").select("key"), "key", "left_semi").groupBy("key").agg(F.countDistinct("site").alias("n"))
