@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from webweft.llm import langid, linededup, nearcopies, packing, secrets
 from webweft.llm.common import fresh_name, materialize, named
@@ -17,8 +18,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that spread over many sources."""
-    return linededup.remove_widespread_lines(docs)
+    """All documents, without the lines that spread over many sources. Copies and near copies of a
+    text vote once, so a text that was copied stays whole for :func:`near_dedup`."""
+    families = nearcopies.near_copy_groups(docs).select("text_key", F.col("group").alias("family"))
+    return linededup.remove_widespread_lines(docs, families=families)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

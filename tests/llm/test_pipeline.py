@@ -30,3 +30,20 @@ def test_stages(spark):
     assert seen["secret_scan"].filter(F.col("text").contains("04dbebab")).count() == 0 and ids["secret_scan"] == ids["near_dedup"]
     assert ids["best_fit_packing"] == ids["secret_scan"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_copied_texts_keep_their_lines(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(3000)]
+    lines = lambda n: [" ".join(rng.choices(words, k=20)) for _ in range(n)]
+    near = lines(12)
+    rows = [(i, "\n".join(lines(4) + ["The same notice on all sites."]), f"s{i % 10}") for i in range(40)]
+    exact = "\n".join(lines(12))
+    rows += [(100 + i, exact, f"s{i % 12}") for i in range(20)]
+    rows += [(200 + i, "\n".join([*near[:i % 12], near[i % 12] + f" changed{i}", *near[i % 12 + 1 :]]), f"s{i % 12}") for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = materialize(corpus_pipeline.line_dedup(spark, docs, ""), "test-copied")
+    got = {r.doc_id: r.text for r in found.collect()}
+    assert got == {i: t.replace("\nThe same notice on all sites.", "") for i, t, _ in rows}
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, found, "").collect()}
+    assert kept == set(range(40)) | {100, 200}

@@ -6,6 +6,8 @@ mergeable aggregation; lines whose estimate is near the threshold get an exact c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ MIN_SITES = 6
 SKETCH_LOG2 = 12
 #: Estimates within this share of the threshold are counted exactly; ten standard errors at least.
 MARGIN = 0.25
+#: Where copies vote once: share of all families of texts that a line must stand in as well.
+MIN_SHARE = 0.001
 #: Up to so many widespread lines (80 kB of hashes) are sent to the tasks; more are joined.
 SENT_KEYS = 10_000
 
@@ -30,9 +34,37 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
+def _keys_of(text: Column) -> Column:
+    """A row per different line of a text that isn't blank: its hash."""
+    return F.explode(F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key))).alias("key")
+
+
 def widespread(rows: DataFrame, text: str, site: str, min_sites: int = MIN_SITES) -> DataFrame:
     """``key`` of each line, blank ones aside, that occurs on ``min_sites`` sites or more."""
-    lines = rows.select(F.xxhash64(F.col(site)).alias("site"), F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""), _key))).alias("key"))
+    return _on_many_sites(rows.select(F.xxhash64(F.col(site)).alias("site"), _keys_of(F.col(text))), min_sites)
+
+
+def widespread_in_families(rows: DataFrame, text: str, site: str, families: DataFrame, min_sites: int = MIN_SITES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``key`` of each line that occurs on ``min_sites`` sites or more if each family of copies votes
+    for one site only, and in ``min_share`` of all families.
+
+    ``families``: ``text_key`` (xxhash64 of a text), ``family``. A family's site is chosen from
+    its own by a hash, so families on the same sites don't all vote for the same one.
+    """
+    rows = rows.filter(F.col(text).isNotNull()).withColumn("text_key", F.xxhash64(F.col(text)))
+    own = families.select("text_key", "family").distinct()
+    places = rows.select("text_key", F.xxhash64(F.col(site)).alias("site")).distinct().join(own, "text_key")
+    votes = places.groupBy("family").agg(F.min(F.struct(F.xxhash64("family", "site").alias("h"), "site")).alias("v")).select("family", F.col("v.site").alias("site"))
+    votes = materialize(votes, "votes")
+    lines = rows.select("text_key", _keys_of(F.col(text))).distinct().join(own, "text_key").select("family", "key").distinct()
+    lines = materialize(lines.join(votes, "family"), "family-lines")
+    least = max(1, math.ceil(min_share * votes.count()))
+    often = lines.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("key")
+    return _on_many_sites(lines.select("site", "key"), min_sites).join(often, "key", "left_semi")
+
+
+def _on_many_sites(lines: DataFrame, min_sites: int) -> DataFrame:
+    """``key`` of the ``site, key`` rows that come with ``min_sites`` sites or more."""
     # Every task first adds up its own rows, so a common line is as many rows as it has sites. Most
     # lines have one site only: smallest and largest site hash are then the same, and no sketch is needed.
     pairs = lines.distinct()
@@ -44,7 +76,7 @@ def widespread(rows: DataFrame, text: str, site: str, min_sites: int = MIN_SITES
     return spread.filter("sure").select("key").unionByName(exact.filter(F.col("n") >= min_sites).select("key"))
 
 
-def remove_widespread_lines(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, removed_col: str | None = None) -> DataFrame:
+def remove_widespread_lines(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, removed_col: str | None = None, families: DataFrame | None = None, min_share: float = MIN_SHARE) -> DataFrame:
     """``df`` with all lines taken out of its texts that occur on ``min_sites`` sites or more.
 
     Keeps all rows and columns; ``removed_col`` adds the number of lines that were taken out.
@@ -53,6 +85,10 @@ def remove_widespread_lines(df: DataFrame, text_col: str = "text", site_col: str
     line stays as it is, one of such lines only becomes empty. Repeated rows stay repeated. An
     empty table gives an empty table.
 
+    With ``families`` (see :func:`widespread_in_families`) copies of one text vote once, and a line
+    must stand in ``min_share`` of the families as well. A text that is merely copied to many
+    sites then keeps its lines.
+
     Texts are rewritten where they are: widespread lines are few, and their hashes go to the
     tasks. Only if there are more than SENT_KEYS, each text is joined with the array of its own
     widespread lines' hashes. Either way a text is one row at any time.
@@ -60,7 +96,8 @@ def remove_widespread_lines(df: DataFrame, text_col: str = "text", site_col: str
     own, bad_col = fresh_name(df, "_text_key"), fresh_name(df, "_bad_lines")
     text_of = named(text_col)
     slim = df.select(text_of.cast("string").alias("text"), named(site_col).alias("site"))
-    keys = materialize(widespread(slim, "text", "site", min_sites), "widespread")
+    found = widespread(slim, "text", "site", min_sites) if families is None else widespread_in_families(slim, "text", "site", families, min_sites, min_share)
+    keys = materialize(found, "widespread")
     text = text_of.cast("string")
     sent = [r["key"] for r in keys.limit(SENT_KEYS + 1).collect()]
     if len(sent) <= SENT_KEYS:
