@@ -96,6 +96,24 @@ def test_near_copies_leave_one(spark):
     assert nearcopies.drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_near_copies_equal_exact_similarity(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(2000)]
+    texts = []
+    for k in range(60):  # one block appended, cut off or replaced; similarities on both sides of 0.8
+        base = [rng.choice(words) for _ in range(rng.randint(80, 400))]
+        n = int(len(base) * rng.uniform(0.08, 0.45))
+        block = [rng.choice(words) for _ in range(n)]
+        at = rng.randrange(len(base) - n)
+        texts += [" ".join(base), " ".join([base + block, base[:-n], base[:at] + block[: n // 2] + base[at + n // 2 :]][k % 3])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert 15 < sum(near) < 45
+    want = sorted(i for i in range(120) if i % 2 == 0 or not near[i // 2])
+    assert sorted(r.doc_id for r in nearcopies.drop_near_copies(df).collect()) == want
+
+
 def test_encoding(odd):
     from tokenizers import Tokenizer
 

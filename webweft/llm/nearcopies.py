@@ -1,8 +1,8 @@
-"""Near copies by similarity of word shingles: SimHash fingerprints, one document of each group kept.
+"""Near copies by similarity of word shingles, one document of each group kept.
 
-Similarity is measured on a long fingerprint of the 5-word shingles. Shards come from other
-fingerprints, of a text's longer words: a few replaced words change them by a few bits only,
-while texts that have no more than common words alike differ in about half of them.
+Candidates are texts that agree in a band of minimum hashes of their 5-word shingles, which all
+but :func:`missed` of the pairs of a similarity do wherever their words were changed. What meets
+is linked by the exact Jaccard similarity of the shingle sets only.
 """
 
 from __future__ import annotations
@@ -14,15 +14,21 @@ from pyspark.sql import functions as F
 
 from .common import fresh_name, materialize, named
 from .graph import components
-from .simhash import SEED, band_keys, majority, sharded_links, shingle_hashes
+from .simhash import SEED, majority, sharded_links, shingle_hashes
 
 #: Words of a shingle and similarity of near copies.
 WORDS, SIMILARITY = 5, 0.8
 #: Bits of the fingerprint that similarity is measured on.
 MEASURE_BITS = 256
-#: Shards: agreement in so many of so many bands of the fingerprints of words of these lengths.
-ROUTE_BANDS, ROUTE_CHOSEN, ROUTE_LENGTHS = 8, 3, (4, 6)
-#: Values of a shard searched at once; near copies of one text are dense, and a search visits them all.
+#: Candidates agree in all of so many minimum hashes in one of so many bands; the first few bands
+#: are searched alone, and the others only for what they have not joined.
+BAND_ROWS, BANDS, FIRST_BANDS = 4, 24, 4
+#: Fixed odd factors and masks, by which one hash of a shingle becomes BAND_ROWS * BANDS.
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BAND_ROWS * BANDS, 1), np.uint64)
+_FACTORS, _MASKS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+#: Least lengths of the words of :func:`signature`'s other fingerprints.
+ROUTE_LENGTHS = (4, 6)
+#: Sets of a shard searched at once.
 DENSE_ROWS = 512
 
 
@@ -50,35 +56,119 @@ def signature(raw: bytes) -> tuple[bytes, int, int]:
     return b"".join(m.to_bytes(8, "little") for m in measured), *routes
 
 
+def missed(similarity: float) -> float:
+    """Share of the pairs of that Jaccard similarity that agree in no band."""
+    return (1 - similarity**BAND_ROWS) ** BANDS
+
+
+def shingle_set(raw: bytes) -> np.ndarray:
+    """The different hashes of a text's shingles, rising."""
+    return np.unique(shingle_hashes(raw, WORDS))
+
+
+def band_hashes(shingles: np.ndarray) -> list[int]:
+    """A signed 64-bit hash per band, of BAND_ROWS minimum hashes of the shingles."""
+    least = np.full(BAND_ROWS * BANDS, np.iinfo(np.uint64).max)
+    for a in range(0, len(shingles), 4096):
+        x = (shingles[a : a + 4096] ^ _MASKS) * _FACTORS
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
+
+
+def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two rising arrays of different values are of that similarity at least."""
+    small, large = sorted((len(a), len(b)))
+    if small < similarity * large:
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= similarity * (small + large - common)
+
+
+class SetIndex:
+    """Shingle sets, as bytes, compared one by one."""
+
+    def __init__(self):
+        self.sets: list[tuple[bytes, np.ndarray]] = []
+
+    def add(self, value: bytes) -> None:
+        self.sets.append((value, np.frombuffer(value, "<u8")))
+
+    def within(self, value: bytes, similarity: float) -> list[bytes]:
+        own = np.frombuffer(value, "<u8")
+        return [v for v, x in self.sets if jaccard_reaches(own, x, similarity)]
+
+
+def local_set_links(values: list[bytes], similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that join what is joined by pairs of the similarity, one per joined part at most."""
+    parts: list[list[tuple[bytes, np.ndarray]]] = []
+    links = []
+    for value in values:
+        own = np.frombuffer(value, "<u8")
+        near, far = [], []
+        for part in parts:
+            hit = next((v for v, x in part if jaccard_reaches(own, x, similarity)), None)
+            (far if hit is None else near).append(part)
+            if hit is not None:
+                links.append((value, hit))
+        parts = [*far, [*(m for part in near for m in part), (value, own)]]
+    return links
+
+
 def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, text_key, n, group``: rows by id and text (``n`` equal ones), and their group.
 
-    Texts are linked whose 5-word shingles are similar by ``similarity`` or more, as SimHash
-    estimates it: within :func:`radius_of` bits of MEASURE_BITS. Texts are compared if they meet
-    in a shard, which holds texts whose longer words have fingerprints that agree in
-    ROUTE_CHOSEN of ROUTE_BANDS bands. Equal texts are always linked, as are all without a word.
+    Texts are linked whose sets of 5-word shingles have a Jaccard similarity of ``similarity`` or
+    more, if they agree in one of BANDS bands of minimum hashes; :func:`missed` says how many
+    pairs don't. Equal texts are always linked, as are all without a word.
     """
 
-    @F.pandas_udf("measured binary, r0 long, r1 long")
+    @F.pandas_udf("print binary, bands array<long>")
     def signed(texts):
         import pandas as pd
 
-        found = [signature((t or "").encode("utf-8")) for t in texts]
-        route = [np.array([f[k] for f in found], np.uint64).astype(np.int64) for k in (1, 2)]
-        return pd.DataFrame({"measured": [f[0] for f in found], "r0": route[0], "r1": route[1]})
+        prints, bands = [], []
+        for t in texts:  # no more than one text's set is held
+            shingles = shingle_set((t or "").encode("utf-8"))
+            prints.append(xxhash.xxh128_digest(shingles.tobytes(), SEED))
+            bands.append(band_hashes(shingles))
+        return pd.DataFrame({"print": prints, "bands": bands})
+
+    @F.pandas_udf("binary")
+    def set_of(texts):
+        import pandas as pd
+
+        return pd.Series([shingle_set((t or "").encode("utf-8")).tobytes() for t in texts], dtype="object")
 
-    rows = df.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), signed("text").alias("s")).select("doc_id", "text_key", "s.*")
-    rows = materialize(rows, "signatures")
-    # A number stands for each fingerprint wherever it is not itself needed.
-    nodes = rows.groupBy(F.col("measured").alias("print")).agg(F.min("r0").alias("r0"), F.min("r1").alias("r1"))
+    texts = df.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = materialize(texts.select("doc_id", "text_key", signed("text").alias("s")).select("doc_id", "text_key", "s.*"), "signatures")
+    # A number stands for each set wherever it is not itself needed.
+    nodes = rows.groupBy("print").agg(F.min(F.struct("doc_id", "text_key", "bands")).alias("m")).select("print", "m.*")
     nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    keys = [k for r, name in enumerate(("r0", "r1")) for k in band_keys(name, ROUTE_BANDS, ROUTE_CHOSEN, r)]
-    keyed = nodes.select("id", F.explode(F.array(*keys)).alias("shard"))
-    roots = components(sharded_links(keyed, radius_of(similarity), DENSE_ROWS, nodes.select("id", "print")))
+    keyed = nodes.select("id", F.posexplode("bands").alias("band", "hash")).select("id", "band", F.xxhash64("band", "hash").alias("shard"))
+    met = keyed.join(keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1").select("shard").hint("merge"), "shard", "left_semi")
+    met = materialize(met.select("id", "band", "shard"), "met")
+    # Only sets that meet another are made again; one row of each set has the text.
+    asked = nodes.join(met.select("id").distinct(), "id", "left_semi").select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "id")
+    found = texts.join(asked, texts["doc_id"].eqNullSafe(F.col("i")) & (texts["text_key"] == F.col("k"))).select("id", "text").dropDuplicates(["id"])
+    sets = materialize(found.select("id", set_of("text").alias("print")), "sets")
+
+    def linked(keys: DataFrame) -> DataFrame:
+        return sharded_links(keys, similarity, DENSE_ROWS, sets, local_set_links, SetIndex, lambda p: p)
+
+    first = linked(met.filter(F.col("band") < FIRST_BANDS).select("id", "shard"))
+    roots = components(first)
+    rest = met.filter(F.col("band") >= FIRST_BANDS).join(roots, F.col("id") == F.col("node"), "left").select("id", "shard", F.coalesce("root", "id").alias("root"))
+    rest = materialize(rest, "rest")
+    apart = rest.groupBy("shard").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("shard")
+    more = linked(rest.join(apart.hint("merge"), "shard", "left_semi").select("id", "shard"))
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     rooted = nodes.join(roots, nodes["id"] == roots["node"], "left").select("print", F.coalesce("root", "id").alias("group"))
-    once = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.min("measured").alias("measured"))
-    return once.join(rooted, once["measured"] == rooted["print"]).select("doc_id", "text_key", "n", "group")
+    once = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.min("print").alias("own"))
+    return once.join(rooted, once["own"] == rooted["print"]).select("doc_id", "text_key", "n", "group")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -154,10 +154,12 @@ def _whole(value: int | bytes) -> int:
     return value & _U64 if isinstance(value, int) else int.from_bytes(value, "little")
 
 
-def sharded_links(keys: DataFrame, radius: int, shard_rows: int = SHARD_ROWS, prints: DataFrame | None = None) -> DataFrame:
+def sharded_links(keys: DataFrame, radius: float, shard_rows: int = SHARD_ROWS, prints: DataFrame | None = None, local=local_links, index=BkTree, whole=_whole) -> DataFrame:
     """Links ``u, v`` whose components are those of all pairs within ``radius`` bits that share
     a shard. ``keys``: ``id`` (long), ``shard``; each pair once. ``prints`` has each id's
     fingerprint as binary ``print``, all different; without it the ids are the fingerprints.
+    Other likenesses than bits come with a ``local`` linker, an ``index`` and a reader ``whole``
+    of their own.
 
     Each shard gives one link per fingerprint at most. Shards of more than ``shard_rows`` are
     dealt into parts, each of which is searched alone; then what a shard's largest component
@@ -184,8 +186,8 @@ def sharded_links(keys: DataFrame, radius: int, shard_rows: int = SHARD_ROWS, pr
         out: list = []
         for _, table in grouped(batches, "bucket"):
             if table.num_rows > 1:
-                own = {_whole(p): i for p, i in zip(table.column("print").to_pylist(), table.column("id").to_pylist(), strict=True)}
-                out += [(own[x], own[y]) for x, y in local_links(list(own), radius)]
+                own = {whole(p): i for p, i in zip(table.column("print").to_pylist(), table.column("id").to_pylist(), strict=True)}
+                out += [(own[x], own[y]) for x, y in local(list(own), radius)]
             if len(out) > 50_000:
                 yield pairs(out)
                 out = []
@@ -211,15 +213,15 @@ def sharded_links(keys: DataFrame, radius: int, shard_rows: int = SHARD_ROWS, pr
             values, roots_, asks = (table.column(c).to_pylist() for c in ("print", "root", "asks"))
             if not any(asks):
                 continue
-            root_of = {_whole(v): r for v, r in zip(values, roots_, strict=True)}
-            tree, out = BkTree(), {}
+            root_of = {whole(v): r for v, r in zip(values, roots_, strict=True)}
+            tree, out = index(), {}
             for v, a in zip(values, asks, strict=True):
                 if not a:
-                    tree.add(_whole(v))
+                    tree.add(whole(v))
             for v, a in zip(values, asks, strict=True):
                 if a:
-                    mine = root_of[_whole(v)]
-                    for y in tree.within(_whole(v), radius):
+                    mine = root_of[whole(v)]
+                    for y in tree.within(whole(v), radius):
                         if root_of[y] != mine:
                             out[mine, root_of[y]] = None
             yield pairs(list(out))
