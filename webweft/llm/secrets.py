@@ -18,6 +18,9 @@ from .common import fresh_name, materialize, named
 LEAST, LEAST_NAMED = 16, 8
 #: What a candidate is made of: a run of these characters, with dotted parts and padding.
 BODY = r"[A-Za-z0-9+/_\-]{%d,}(?:\.[A-Za-z0-9_\-]{4,})*={0,2}"
+#: What a name and a sign announce: the run between its quotes or delimiters, whatever it is made of.
+SIGN = r"(?::=|=>|={1,3}|:)"
+NAMED_VALUE = r"""(?:^|%s)[(\[{<]*(?:"([^"]{%d,})|'([^']{%d,})|`([^`]{%d,})|([^\s"'`=:][^\s"'`]{%d,}?)(?=["'`,;.)\]}>!?]*$))"""
 MASK = "[SECRET]"
 
 #: Words that name secrets, words that name other long codes, stand-ins.
@@ -48,7 +51,7 @@ WORDS = (
 
 FEATURES = (
     "length class_changes vowel_changes digits uppers lowers distinct hex_only dictionary longest_letters slashes path_like "
-    "named other_named stand_in assigned quoted known_prefix"
+    "named other_named stand_in assigned quoted known_prefix symbols equals code_like"
 ).split()
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -63,8 +66,11 @@ def candidates(words: Column) -> Column:
     """Array of ``value, before, after``: candidates with the words around them, in order.
 
     ``words`` is an array column. ``before`` is the two words before and what stands before the
-    candidate in its own.
+    candidate in its own. A candidate is a run of LEAST characters of BODY, or, where a name and a
+    sign announce it, any run of LEAST_NAMED between its quotes or delimiters (and each run
+    of BODY with a digit).
     """
+    value_of = NAMED_VALUE % (SIGN, LEAST_NAMED, LEAST_NAMED, LEAST_NAMED, LEAST_NAMED - 1)
 
     def word(all_words: Column, at: Column) -> Column:
         return F.coalesce(F.get(all_words, at), F.lit(""))
@@ -75,11 +81,19 @@ def candidates(words: Column) -> Column:
     def is_place(i: Column) -> Column:
         w = F.get(words, i)
         long = F.length(w) >= LEAST
-        return (F.length(w) >= LEAST_NAMED) & w.rlike("[0-9]") & ((long & w.rlike(BODY % LEAST)) | announced(w, word(words, i - 1), word(words, i - 2)))
+        return (F.length(w) >= LEAST_NAMED) & ((long & w.rlike(BODY % LEAST)) | announced(w, word(words, i - 1), word(words, i - 2)))
 
     def at(i: Column) -> Column:
         w, one, two = F.get(words, i), word(words, i - 1), word(words, i - 2)
-        found = F.filter(F.regexp_extract_all(w, F.lit(f"({BODY % LEAST_NAMED})"), F.lit(1)), lambda c: c.rlike("[0-9]") & ((F.length(c) >= LEAST) | announced(w, one, two)))
+        named_here = announced(w, one, two)
+        runs = F.filter(F.regexp_extract_all(w, F.lit(f"({BODY % LEAST_NAMED})"), F.lit(1)), lambda c: (F.length(c) >= LEAST) | (named_here & c.rlike("[0-9]")))
+        # In a word with its own sign the value follows the sign; a name and its sign alone are no
+        # value, and addresses hold signs that announce nothing.
+        signed = w.rlike(SIGN + "[^=:>]")
+        own = F.when(signed, F.regexp_replace(w, "^[^=:]*(?=[=:])", "")).otherwise(w)
+        whole = F.array(*(F.regexp_extract(own, value_of, g) for g in range(1, 5)))
+        whole = F.filter(whole, lambda c: (c != "") & named_here & (signed | ~w.rlike("[=:>]$") | ~w.rlike(NAMES)) & ~w.contains("://"))
+        found = F.array_distinct(F.concat(whole, runs))
         return F.transform(found, lambda c: F.struct(c.alias("value"), F.concat_ws(" ", two, one, F.call_function("substring_index", w, c, F.lit(1))).alias("before"), word(words, i + 1).alias("after")))
 
     places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), is_place)
@@ -117,6 +131,9 @@ def features(c: Column) -> list[Column]:
         before.rlike("[=:]\\s*[\"'`]?$").cast("double"),
         before.rlike("[\"'`]$").cast("double"),
         v.rlike("^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|eyJ|SG\\.)").cast("double"),
+        share("[^A-Za-z0-9]"),
+        before.rlike("=\\s*[\"'`]?$").cast("double"),
+        v.rlike("[()\\[\\]{}<>$]|^[A-Za-z_]+([._][A-Za-z_]+)+$").cast("double"),
     ]
     return [x.cast("double") for x in values]
 
@@ -145,6 +162,13 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     word = pick("w", "the", "and", "de", "la", "und", "die", "for", "release", "see", "value", "section", "item")
     other = pick("o", "commit", "sha256", "md5", "checksum", "uuid", "etag", "revision", "digest", "integrity", "order", "invoice")
     hexes = f"substr({h('a')}, 1, element_at(array(32, 40, 64), cast(pmod(xxhash64('n', id), 3) + 1 as int)))"
+    letters = f"substr(translate({b64('l')}, '+/0123456789', 'rTqWzKvPxJbN'), 1, 10 + cast(pmod(id, 20) as int))"
+    parts = lambda n: pick(n, "correct", "horse", "battery", "staple", "purple", "monkey", "dragon", "winter", "silver", "garden")
+    phrase = f"concat_ws({pick('pj', '', '', '-')}, {parts('p2')}, {parts('p3')}, {parts('p4')})"
+    mark = lambda n: pick(n, "@", "!", "#", "$", "%", "&", "*", "^")
+    broken = f"concat({pick('b1', 'P', 'Wi', 'dr', 'Su', 'Qx')}, {mark('m1')}, substr({b64('r')}, 1, 2 + cast(pmod(id, 3) as int)), {mark('m2')}, {pick('b2', 'w0rd', 'nter', 'gon', 'mmer', 'kLp')}, {mark('m3')}, substr({b64('t')}, 1, 1 + cast(pmod(id, 4) as int)))"
+    prose = pick("pr", "required", "something", "forgotten", "important", "available", "international", "notwendig", "Verfahren", "différent", "necesario", "security", "management", "Authentication", "expired,", "invalid.")
+    code = pick("co", "request.headers", "getPassword(user)", "process.env.API_KEY", "os.environ[TOKEN]", "config.get(name)", "settings.secret_key", "this.props.token", "undefined", "${API_TOKEN}", "<password>", "***********")
     true = [
         f"concat({key}, {sign}, {quote}, {hexes}, {quote})",
         f"concat({key}, {sign}, {quote}, upper({hexes}), {quote})",
@@ -154,6 +178,11 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         f"concat({key}, {sign}, 'eyJhbGciOiJIUzI1NiJ9.eyJz', substr(translate({b64('e')}, '+/', '-_'), 1, 30), '.', translate({b64('f')}, '+/', '-_'))",
         f"concat({key}, {sign}, {quote}, 'sk_live_', substr(translate({b64('g')}, '+/', 'cd'), 1, 24), {quote})",
         f"concat({key}, {sign}, {quote}, substr(translate({b64('p')}, '+/', '7k'), 1, 10 + cast(pmod(id, 6) as int)), {quote})",
+        # Without a digit, or broken up by punctuation.
+        f"concat({word}, {quote}, ' AKIA', substr(upper(translate({b64('c')}, '+/0189', 'XYABCD')), 1, 16), {quote})",
+        f"concat({key}, {sign}, {quote}, {letters}, {quote})",
+        f"concat({key}, {sign}, {quote}, {phrase}, {quote})",
+        f"concat({key}, {sign}, {quote}, {broken}, {quote})",
     ]
     ident = f"concat_ws({pick('j', '_', '-', '')}, {pick('i1', 'user', 'image', 'content', 'project', 'The')}, {pick('i2', 'Settings', 'Header', 'Version', 'Template', 'thereing')}, {pick('i3', 'Manager', 'Controller', 'Index', 'Storage', 'Gallery')}, cast(pmod(id, 97) as string))"
     uuid = f"concat_ws('-', substr({h('u')}, 1, 8), substr({h('u')}, 9, 4), substr({h('u')}, 13, 4), substr({h('u')}, 17, 4), substr({h('u')}, 21, 12))"
@@ -167,6 +196,9 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         f"concat('data:image/png;base64,', {b64('y')}, {b64('x')})",
         f"concat({key}, {sign}, {quote}, {ident}, {quote})",
         f"concat('/usr/local/lib/python3.11/site-packages/', {ident}, '/', {word}, '_v', cast(pmod(id, 9) as string))",
+        f"concat({key}, {pick('s3', ': ', ': ', ':', ' = ')}, {prose}, ' ', {word})",
+        f"concat({key}, {sign}, {code})",
+        f"concat({word}, ' ', {pick('lw', 'Verantwortungsbewusstsein', 'internationalization', 'characteristically', 'responsabilidades', 'anticonstitutionnellement', 'state-of-the-art-systems', 'AWS_SECRET_ACCESS_KEY', 'RESPONSABILIDADES', 'INTERNATIONALIZATION', 'VERANTWORTUNGSBEWUSSTSEIN', 'CONSTITUTIONNELLE', 'getElementsByClassName')}, ' ', {word})",
         f"concat({word}, ' mail', cast(pmod(id, 999) as string), '@mail', cast(pmod(id, 9) as string), '.example.com ', {word}, ' ', cast(pmod(xxhash64('d', id), 20000000) as string), '-05-12T10:22:33')",
     ]
 
