@@ -162,6 +162,14 @@ def test_signatures_tell_near_copies():
     assert (a ^ b).bit_count() <= nearcopies.radius_of(0.8) < (a ^ c).bit_count()
 
 
+def test_main_text_outside_articles_and_in_misnamed_parts():
+    prose = "The cat sat on the mat and it was good for all of us. " * 5
+    want = f"{prose.strip()} {prose.strip()}"
+    teaser = "<article><h3>Read this</h3><p>Short teaser.</p></article>"
+    assert mainhtml.main_text(f"<body><div><p>{prose}</p><p>{prose}</p></div>{teaser}</body>").startswith(want)
+    assert mainhtml.main_text(f"<body><article><p>{prose}</p><p>© 2020 Site</p><p>{prose}</p></article></body>") == want
+
+
 def test_phrases_are_those_of_lz78():
     for text in ["", "a", "aaaaaa", "abababababa", "the cat the cat the dog", "é日本é日本é日"]:
         seen, phrase, want = [], "", set()

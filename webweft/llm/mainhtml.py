@@ -183,24 +183,44 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def is_prose(b: Block) -> bool:
+    """Whether the rules on length, links and stop words take a block for running text."""
+    return len(b.text) > LONG and b.linked <= LINKED * len(b.text.replace(" ", "")) and stop_density(b.text) >= FEW_STOPS
+
+
+def by_rules(b: Block) -> str:
+    """A block's label by its own text."""
+    n = len(b.text)
+    if b.linked > LINKED * max(1, len(b.text.replace(" ", ""))) or "©" in b.text and n < LONG:
+        return BAD
+    if n < SHORT:
+        return BAD if b.linked else SHORT_BLOCK
+    stops = stop_density(b.text)
+    prose = stops >= MANY_STOPS or stops >= FEW_STOPS and n > LONG
+    return GOOD if prose and n > LONG else BAD if b.linked and stops < FEW_STOPS else MIDDLING
+
+
 def first_pass(page: list[Block]) -> None:
-    """Label each block on its own: good, bad, short or middling."""
-    inside = any(b.region and not b.barred for b in page)
+    """Label each block on its own: good, bad, short or middling.
+
+    Articles and main parts are evidence if they hold at least as much prose as the rest: what
+    the rules leave open is then good inside and bad outside, links inside are left to the
+    neighbours, and inside a bad label needs a text whose language the stop words know. What
+    the rules find good stays good outside as well. Elsewhere the rules alone decide.
+    """
+    free = [b for b in page if not b.barred]
+    weight = [sum(len(b.text) for b in free if b.region == inside and is_prose(b)) for inside in (False, True)]
+    trusted = any(b.region for b in free) and weight[1] >= weight[0]
     for b in page:
-        n = len(b.text)
-        density = b.linked / max(1, len(b.text.replace(" ", "")))
-        if b.barred or inside and not b.region:
-            b.label = BAD
-        elif inside:
-            b.label = SHORT_BLOCK if density > LINKED else GOOD
-        elif density > LINKED or "©" in b.text and n < LONG:
-            b.label = BAD
-        elif n < SHORT:
-            b.label = BAD if b.linked else SHORT_BLOCK
-        else:
-            stops = stop_density(b.text)
-            prose = stops >= MANY_STOPS or stops >= FEW_STOPS and n > LONG
-            b.label = GOOD if prose and n > LONG else BAD if b.linked and stops < FEW_STOPS else MIDDLING
+        b.label = BAD if b.barred else by_rules(b)
+        if not trusted or b.barred:
+            continue
+        if not b.region:
+            b.label = GOOD if b.label == GOOD else BAD
+        elif b.linked > LINKED * max(1, len(b.text.replace(" ", ""))):
+            b.label = SHORT_BLOCK
+        elif b.label != BAD or len(b.text) < SHORT and "©" not in b.text or not weight[1]:
+            b.label = GOOD
     run = []
     for b in [*page, None]:  # link-only rows make a menu
         if b is not None and b.label != BAD and b.linked and b.linked >= 0.9 * len(b.text.replace(" ", "")) and len(b.text) < SHORT:
