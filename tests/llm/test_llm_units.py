@@ -168,6 +168,11 @@ def test_main_text_outside_articles_and_in_misnamed_parts():
     teaser = "<article><h3>Read this</h3><p>Short teaser.</p></article>"
     assert mainhtml.main_text(f"<body><div><p>{prose}</p><p>{prose}</p></div>{teaser}</body>").startswith(want)
     assert mainhtml.main_text(f"<body><article><p>{prose}</p><p>© 2020 Site</p><p>{prose}</p></article></body>") == want
+    for name in ("layout has-sidebar", "elementor-widget-container", "post has-comments", "no-ad"):
+        page = f"<body><div class='{name}'><article><p>{prose}</p><p>{prose}</p></article><div class='sidebar'>{prose}</div></div><div>© x</div></body>"
+        assert mainhtml.main_text(page) == want
+    comments = f"<section id='comments'><p>{prose}</p><p>{prose}</p></section>"
+    assert mainhtml.main_text(f"<body><article><p>{prose}</p><p>{prose}</p></article>{comments}</body>") == want
 
 
 def test_phrases_are_those_of_lz78():

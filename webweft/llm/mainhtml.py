@@ -81,14 +81,19 @@ class Block:
     region: bool  # in the article or main part
     barred: bool  # in a part that never holds main text
     label: str = ""
+    named: tuple[int, ...] = ()  # start tags around it whose class or id bars it, by number
+    hard: bool = False  # barred by more than a class or id
 
 
-def hinted(attrs: dict[str, str], inside: bool) -> bool:
-    """Whether attributes name something other than main text."""
+def hidden(attrs: dict[str, str]) -> bool:
+    """Whether attributes hide an element or give it a role other than main text."""
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
         return True
-    if "style" in attrs and _HIDDEN.search(attrs["style"]):
-        return True
+    return "style" in attrs and bool(_HIDDEN.search(attrs["style"]))
+
+
+def hinted(attrs: dict[str, str], inside: bool) -> bool:
+    """Whether a class or id names something other than main text."""
     for key in ("class", "id"):
         if value := attrs.get(key):
             words = {w.lower() for w in _HINT_WORDS.findall(value)}
@@ -97,13 +102,15 @@ def hinted(attrs: dict[str, str], inside: bool) -> bool:
     return False
 
 
-def blocks(html: str, hints: bool = True) -> list[Block]:
+def blocks(html: str, hints: bool = True, lifted: frozenset[int] = frozenset()) -> list[Block]:
     """Text blocks of a page in order, white space inside each turned into single spaces.
 
-    Without ``hints``, attributes don't bar anything, only elements do.
+    Without ``hints``, attributes don't bar anything, only elements do. Class and id of the start
+    tags numbered in ``lifted`` bar nothing.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, barred, region
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # name, hard, region, named
+    number = 0
     parts: list[str] = []
     linked, heading, in_link = 0, False, 0
 
@@ -111,8 +118,8 @@ def blocks(html: str, hints: bool = True) -> list[Block]:
         nonlocal parts, linked, heading
         text = " ".join("".join(parts).split())
         if text:
-            _, barred, region = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, linked, heading, region, barred))
+            _, hard, region, named_by = stack[-1] if stack else ("", False, False, ())
+            out.append(Block(text, linked, heading, region, hard or bool(named_by), named=named_by, hard=hard))
         parts, linked, heading = [], 0, False
 
     def pop_to(name: str) -> None:
@@ -142,16 +149,24 @@ def blocks(html: str, hints: bool = True) -> list[Block]:
             if value == "p" or value in HEADINGS:
                 if stack and stack[-1][0] in ("p", *HEADINGS):
                     stack.pop()
-            _, barred, region = stack[-1] if stack else ("", False, False)
+            _, hard, region, named_by = stack[-1] if stack else ("", False, False, ())
+            barred = hard or bool(named_by)
             if value in VOID:
                 continue
-            if not boundary and value not in NEVER and not (hints and not barred and attrs and hinted(attrs, region)):
+            number += 1
+
+            def bars(inside: bool) -> bool:
+                return number not in lifted and hinted(attrs, inside)
+
+            if not boundary and value not in NEVER and not (hints and not barred and attrs and (hidden(attrs) or bars(region))):
                 continue  # inline, says nothing of the place
             if not boundary and value not in NEVER:
                 flush()
             inner_region = region or value in REGIONS and not barred
             never = value in NEVER or value == "header" and not region
-            stack.append((value, barred or never or hints and value not in ("html", "body") and hinted(attrs, inner_region), inner_region))
+            outer = not hints or value in ("html", "body")
+            own = (number,) if not outer and bars(inner_region) else ()
+            stack.append((value, hard or never or not outer and hidden(attrs), inner_region, named_by + own))
             if value in HEADINGS:
                 heading = True
         elif kind == END:
@@ -273,11 +288,26 @@ def second_pass(page: list[Block]) -> None:
         b.label = label
 
 
+def misnamed(page: list[Block]) -> frozenset[int]:
+    """Numbers of start tags whose class or id bars the page's main text: they hold over half of
+    its prose, and what no class or id bars holds less than half of what they do."""
+    prose = {id(b): len(b.text) for b in page if b.named and not b.hard and is_prose(b)}
+    free = sum(len(b.text) for b in page if not b.barred and is_prose(b))
+    lost: dict[int, int] = {}
+    for b in page:
+        for k in b.named if id(b) in prose else ():
+            lost[k] = lost.get(k, 0) + prose[id(b)]
+    whole = free + sum(prose.values())
+    return frozenset(k for k, n in lost.items() if 2 * n > whole and 2 * free < n)
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page: its good blocks in order, joined by one space."""
     if not html:
         return ""
     page = blocks(html)
+    if any(b.named for b in page) and (lifted := misnamed(page)):
+        page = blocks(html, lifted=lifted)
     if all(b.barred for b in page):  # a name that bars the whole page says nothing; its prose does
         page = blocks(html, hints=False)
         for b in page:
