@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,6 +194,7 @@ def _close_sibling(stack: list, closed: str, opener: str) -> None:
             return
 
 
+@lru_cache(maxsize=1024)  # the blocks of a page are asked for more than once
 def stop_density(text: str) -> float:
     words = _WORDS.findall(text.lower())
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
