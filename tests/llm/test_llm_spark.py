@@ -65,14 +65,23 @@ def test_near_duplicates_equal_brute_force(spark):
             if (prints[a] ^ prints[b]).bit_count() <= 4:
                 up[max(root(a), root(b))] = min(root(a), root(b))
     want = sorted((i, f"{prints[i]:016x}", root(i)) for i, _ in rows)
-    for shard_rows in (4096, 2):  # 2: large shards are split
-        assert sorted(map(tuple, simhash.near_duplicates(df, shard_rows=shard_rows).collect())) == want
+    for shard_rows, bands in ((4096, None), (2, None), (4096, 8)):  # 2: large shards are split
+        assert sorted(map(tuple, simhash.near_duplicates(df, shard_rows=shard_rows, bands=bands).collect())) == want
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 103), (103, 101), (5, 5), (200, 201), (201, 200)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame([(a, b) for a, b in edges] + [(None, 1)], "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(1, 61)) and got[101] == got[103] == 100 and got[201] == 200
+    # what a large star leaves as it is but isn't done, and random graphs
+    rng = random.Random(11)
+    for edges in [[(3, 1), (3, 2), (5, 1), (6, 2)], [(rng.randrange(400), rng.randrange(400)) for _ in range(190)]]:
+        up = {x: x for e in edges for x in e}
+        for a, b in edges:
+            old, new = max(up[a], up[b]), min(up[a], up[b])
+            up = {k: new if v == old else v for k, v in up.items()}
+        got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == {k: v for k, v in up.items() if k != v}
 
 
 def test_near_copies_leave_one(spark):

@@ -150,16 +150,32 @@ def test_bk_tree_and_local_links():
     assert groups(links) == groups([(a, b) for a, b in combinations(values, 2) if (a ^ b).bit_count() <= 4])
 
 
-def test_signatures_tell_near_copies():
+def test_local_set_links_equal_exact_similarity():
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
-    text = [rng.choice(words) for _ in range(400)]
-    near = list(text)
-    for i in rng.sample(range(400), 5):
-        near[i] = rng.choice(words)
-    other = [rng.choice(words) for _ in range(400)]
-    a, b, c = (int.from_bytes(nearcopies.signature(" ".join(t).encode())[0], "little") for t in (text, near, other))
-    assert (a ^ b).bit_count() <= nearcopies.radius_of(0.8) < (a ^ c).bit_count()
+    texts = []
+    for n in (6, 9, 40, 400):  # few words too: the fingerprints of small sets differ most
+        base = [rng.choice(words) for _ in range(n)]
+        for k in range(12):
+            texts.append(" ".join([*base, *(rng.choice(words) for _ in range(k * n // 30))]))
+    values = list(dict.fromkeys(nearcopies.packed(nearcopies.shingle_set(t.encode())) for t in texts))
+    sets = [set(np.frombuffer(v, "<u8", offset=8).tolist()) for v in values]
+
+    def groups(pairs):
+        up = list(range(len(values)))
+        for a, b in pairs:
+            old, new = up[a], up[b]
+            up = [new if x == old else x for x in up]
+        return {frozenset(i for i, x in enumerate(up) if x == g) for g in up}
+
+    number = {v: i for i, v in enumerate(values)}
+    exact = [(a, b) for a, b in combinations(range(len(values)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = nearcopies.local_set_links(values, 0.8)
+    assert len(links) < len(values) and groups((number[a], number[b]) for a, b in links) == groups(exact)
+
+
+def test_bands_for_make_small_shards():
+    assert simhash.bands_for(10**6, 4) == 6 and simhash.bands_for(10**11, 4) == 7 and simhash.bands_for(10**12, 4) == 8
 
 
 def test_main_text_outside_articles_and_in_misnamed_parts():

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import joined_apart, materialize, release
 
 MOST_ROUNDS = 60
 
@@ -22,12 +22,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         ways = ways.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = ways.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    linked = ways.join(least, "u")
+    linked = joined_apart(ways, least, "u")
     if large:
         linked = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
         linked = linked.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(least.select("u", F.col("low").alias("v")))
-    return linked.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return linked.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def _sign(edges: DataFrame):
+    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,13 +41,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(edges, "edges")
-    sign = None
+    sign = _sign(now)
     for _ in range(MOST_ROUNDS):
-        after = materialize(_star(_star(now, True), False), "edges")
-        release(now)
-        now = after
-        new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if new == sign:
+        # What a large star (one row for each edge) leaves as it is has no chain of falling nodes; if each
+        # node has one smaller neighbour besides, it is made of stars around their smallest nodes.
+        wide = materialize(_star(now, True), "edges")
+        if _sign(wide) == sign and now.select("u").distinct().count() == sign[0]:
+            release(wide)
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        sign = new
+        after = materialize(_star(wide, False).distinct(), "edges")
+        release(now)
+        release(wide)
+        now, sign = after, _sign(after)
     raise RuntimeError("the components did not settle")

@@ -1,7 +1,8 @@
 """Removal of lines that spread over many sites, with DataFrame functions only.
 
-A line's spread is its number of distinct sites. A HyperLogLog sketch per line estimates it by
-mergeable aggregation; lines whose estimate is near the threshold get an exact count.
+A line's spread is its number of distinct sites. Every task builds a HyperLogLog sketch per line
+hash, and the sketches merge by aggregation; only for lines whose estimate is near the threshold
+are their pairs of line and site gathered and counted exactly.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, materialize, named
+from .common import fresh_name, joined_apart, materialize, named
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 6
@@ -21,6 +22,8 @@ SKETCH_LOG2 = 12
 MARGIN = 0.25
 #: Where copies vote once: share of all families of texts that a line must stand in as well.
 MIN_SHARE = 0.001
+#: A text of which more than this share is lines that recur is a copy itself and has no vote.
+MOST_RECURRING = 0.5
 #: Up to so many widespread lines (80 kB of hashes) are sent to the tasks; more are joined.
 SENT_KEYS = 10_000
 
@@ -34,49 +37,59 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def _keys_of(text: Column) -> Column:
-    """A row per different line of a text that isn't blank: its hash."""
-    return F.explode(F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key))).alias("key")
+def _different_lines(text: Column) -> Column:
+    """A row per different line of a text that isn't blank: its hash and length."""
+    told = F.filter(_lines(text), lambda x: F.trim(x) != "")
+    return F.explode(F.array_distinct(F.transform(told, lambda x: F.struct(_key(x).alias("key"), F.length(F.trim(x)).alias("n"))))).alias("line")
 
 
-def widespread(rows: DataFrame, text: str, site: str, min_sites: int = MIN_SITES) -> DataFrame:
-    """``key`` of each line, blank ones aside, that occurs on ``min_sites`` sites or more."""
-    return _on_many_sites(rows.select(F.xxhash64(F.col(site)).alias("site"), _keys_of(F.col(text))), min_sites)
+def family(text: Column) -> Column:
+    """A hash that copies of a text share, and most near copies: the smallest of its three-word runs."""
 
+    def later(words: Column, n: int) -> Column:
+        return F.slice(words, n + 1, F.greatest(F.size(words) - n, F.lit(0)))
 
-def widespread_in_families(rows: DataFrame, text: str, site: str, families: DataFrame, min_sites: int = MIN_SITES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``key`` of each line that occurs on ``min_sites`` sites or more if each family of copies votes
-    for one site only, and in ``min_share`` of all families.
+    def smallest(words: Column) -> Column:
+        pairs = F.zip_with(words, later(words, 1), lambda a, b: F.xxhash64(a, b))
+        return F.array_min(F.zip_with(pairs, later(words, 2), lambda h, c: F.xxhash64(h, c)))
 
-    ``families``: ``text_key`` (xxhash64 of a text), ``family``. A family's site is chosen from
-    its own by a hash, so families on the same sites don't all vote for the same one.
+    # The words are a lambda's variable, so the text is split once.
+    return F.get(F.transform(F.array(F.split(F.lower(text), " ")), smallest), F.lit(0))
+
+
+def _reaching(lines: DataFrame, of: str, least: int) -> DataFrame:
+    """``key`` of the lines that come with ``least`` different values of column ``of`` or more."""
+    # Each task sketches its own rows of a line first, so a common line is a few sketches wherever it stands.
+    spread = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg(of, SKETCH_LOG2)).alias("about"))
+    spread = materialize(spread.filter(F.col("about") >= least * (1 - MARGIN)), "spread")
+    sure = F.col("about") > least * (1 + MARGIN)
+    near = lines.join(spread.filter(~sure).select("key"), "key", "left_semi").select("key", of).distinct()
+    exact = near.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return spread.filter(sure).select("key").unionByName(exact.select("key"))
+
+
+def widespread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``key`` of each line of ``key, site`` that occurs on ``min_sites`` sites or more."""
+    return _reaching(lines, "site", min_sites)
+
+
+def widespread_in_families(lines: DataFrame, families: int, min_sites: int = MIN_SITES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``key`` of each line that is on ``min_sites`` sites or more, and in as many families of texts
+    and ``min_share`` of all of them, texts that mostly consist of such lines aside.
+
+    ``lines``: ``key, n`` (length), ``site, text_key, family`` and ``whole`` (the text's length).
+    Copies are one family, so is most of a group of near copies; where their other lines recur as
+    well, they have no vote. What remains of a line's families is its spread by different texts.
     """
-    rows = rows.filter(F.col(text).isNotNull()).withColumn("text_key", F.xxhash64(F.col(text)))
-    own = families.select("text_key", "family").distinct()
-    places = rows.select("text_key", F.xxhash64(F.col(site)).alias("site")).distinct().join(own, "text_key")
-    votes = places.groupBy("family").agg(F.min(F.struct(F.xxhash64("family", "site").alias("h"), "site")).alias("v")).select("family", F.col("v.site").alias("site"))
-    votes = materialize(votes, "votes")
-    lines = rows.select("text_key", _keys_of(F.col(text))).distinct().join(own, "text_key").select("family", "key").distinct()
-    lines = materialize(lines.join(votes, "family"), "family-lines")
-    least = max(1, math.ceil(min_share * votes.count()))
-    often = lines.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("key")
-    return _on_many_sites(lines.select("site", "key"), min_sites).join(often, "key", "left_semi")
-
-
-def _on_many_sites(lines: DataFrame, min_sites: int) -> DataFrame:
-    """``key`` of the ``site, key`` rows that come with ``min_sites`` sites or more."""
-    # Every task first adds up its own rows, so a common line is as many rows as it has sites. Most
-    # lines have one site only: smallest and largest site hash are then the same, and no sketch is needed.
-    pairs = lines.distinct()
-    spans = pairs.groupBy("key").agg(F.min("site").alias("a"), F.max("site").alias("b")).filter("a <> b").select("key")
-    several = materialize(pairs.join(spans, "key", "left_semi").select("key", "site"), "lines")
-    spread = several.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_LOG2)).alias("about"))
-    spread = spread.filter(F.col("about") >= min_sites * (1 - MARGIN)).withColumn("sure", F.col("about") > min_sites * (1 + MARGIN))
-    exact = several.join(spread.filter("not sure").select("key"), "key", "left_semi").groupBy("key").agg(F.countDistinct("site").alias("n"))
-    return spread.filter("sure").select("key").unionByName(exact.filter(F.col("n") >= min_sites).select("key"))
-
-
-def remove_widespread_lines(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, removed_col: str | None = None, families: DataFrame | None = None, min_share: float = MIN_SHARE) -> DataFrame:
+    least = max(min_sites, math.ceil(min_share * families))
+    often = materialize(_reaching(lines, "family", least), "often")
+    recurring = materialize(lines.join(often, "key", "left_semi").join(widespread(lines, min_sites), "key", "left_semi"), "recurring")
+    copied = recurring.select("text_key", "key", "n", "whole").distinct().groupBy("text_key").agg(F.sum("n").alias("n"), F.max("whole").alias("whole"))
+    voting = copied.filter(F.col("n") <= MOST_RECURRING * F.col("whole")).select("text_key")
+    return _reaching(joined_apart(recurring, voting, "text_key", "left_semi"), "family", least)
+
+
+def remove_widespread_lines(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, removed_col: str | None = None, copies_once: bool = False, min_share: float = MIN_SHARE) -> DataFrame:
     """``df`` with all lines taken out of its texts that occur on ``min_sites`` sites or more.
 
     Keeps all rows and columns; ``removed_col`` adds the number of lines that were taken out.
@@ -85,26 +98,37 @@ def remove_widespread_lines(df: DataFrame, text_col: str = "text", site_col: str
     line stays as it is, one of such lines only becomes empty. Repeated rows stay repeated. An
     empty table gives an empty table.
 
-    With ``families`` (see :func:`widespread_in_families`) copies of one text vote once, and a line
-    must stand in ``min_share`` of the families as well. A text that is merely copied to many
-    sites then keeps its lines.
+    With ``copies_once`` copies of one text vote once, and a line must stand in ``min_share`` of
+    the families of texts as well (see :func:`widespread_in_families`). A text that is merely
+    copied to many sites then keeps its lines.
 
-    Texts are rewritten where they are: widespread lines are few, and their hashes go to the
-    tasks. Only if there are more than SENT_KEYS, each text is joined with the array of its own
-    widespread lines' hashes. Either way a text is one row at any time.
+    Lines' hashes are written once and all counts are made from them. Texts are rewritten where
+    they are: widespread lines are few, and their hashes go to the tasks. Only if there are more
+    than SENT_KEYS, each text is joined with the array of its own widespread lines' hashes. Either
+    way a text is one row at any time.
     """
     own, bad_col = fresh_name(df, "_text_key"), fresh_name(df, "_bad_lines")
-    text_of = named(text_col)
-    slim = df.select(text_of.cast("string").alias("text"), named(site_col).alias("site"))
-    found = widespread(slim, "text", "site", min_sites) if families is None else widespread_in_families(slim, "text", "site", families, min_sites, min_share)
+    text = named(text_col).cast("string")
+    rows = df.select(text.alias("text"), F.xxhash64(named(site_col)).alias("site")).filter("text is not null")
+    if copies_once:
+        rows = rows.withColumns({"text_key": F.xxhash64("text"), "family": family(F.col("text")), "whole": F.length("text")})
+        lines = materialize(rows.select("site", "text_key", "family", "whole", _different_lines(F.col("text"))).select("site", "text_key", "family", "whole", "line.*"), "lines")
+        found = widespread_in_families(lines, lines.select("family").distinct().count(), min_sites, min_share)
+    else:
+        rows = rows.withColumn("text_key", F.xxhash64("text"))
+        lines = materialize(rows.select("site", "text_key", _different_lines(F.col("text"))).select("site", "text_key", "line.key"), "lines")
+        found = widespread(lines, min_sites)
     keys = materialize(found, "widespread")
-    text = text_of.cast("string")
     sent = [r["key"] for r in keys.limit(SENT_KEYS + 1).collect()]
     if len(sent) <= SENT_KEYS:
         step = df
         touched, is_bad = text.isNotNull(), lambda x: _key(x).isin(sent)
     else:
-        step = df.withColumn(own, F.xxhash64(text)).join(_bad_lines(slim, keys, own, bad_col), own, "left")
+        # Rows of one text have the same lines, so its hash leads back to it (texts that collide would
+        # share their hashes, and a hash only takes out lines that are widespread anyway).
+        bad = lines.join(keys, "key", "left_semi").select("text_key", "key").distinct().groupBy("text_key").agg(F.collect_list("key").alias(bad_col))
+        bad = materialize(bad.withColumnRenamed("text_key", own), "bad-lines")
+        step = df.withColumn(own, F.xxhash64(text)).join(bad, own, "left")
         touched, is_bad = text.isNotNull() & F.col(bad_col).isNotNull(), lambda x: F.array_contains(F.col(bad_col), _key(x))
     kept = F.filter(_lines(text), lambda x: ~is_bad(x))
     new_text = F.when(touched, F.array_join(kept, "\n")).otherwise(text)
@@ -114,14 +138,3 @@ def remove_widespread_lines(df: DataFrame, text_col: str = "text", site_col: str
         n = F.when(touched, F.size(_lines(text)) - F.size(kept)).otherwise(0)
         extra.append(n.cast("long").alias(removed_col))
     return step.select(*out.values(), *extra)
-
-
-def _bad_lines(slim: DataFrame, keys: DataFrame, own: str, bad_col: str) -> DataFrame:
-    """By a text's own hash, the hashes of its widespread lines, for texts that hold any.
-
-    Rows of one text have the same lines, so its hash leads back to it (texts that collide would
-    share their hashes, and a hash only takes out lines that are widespread anyway).
-    """
-    hits = slim.filter("text is not null").select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("key"))
-    bad = hits.join(keys, "key", "left_semi").distinct().groupBy("t").agg(F.collect_list("key").alias("keys"))
-    return materialize(bad, "bad-lines").select(F.col("t").alias(own), F.col("keys").alias(bad_col))

@@ -10,7 +10,7 @@ trees of all shards together grow with the corpus and have no bound for a broadc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shuffle_partitions
+from .common import joined_apart, materialize, release, shuffle_partitions
 from .graph import components
 from .packing import grouped
 
@@ -51,7 +51,8 @@ class BkTree:
                 return
             at = below[d]
 
-    def within(self, value: int, radius: int) -> list[int]:
+    def within(self, value: int, radius: int, skip: Callable[[int], bool] | None = None) -> list[int]:
+        """Values within ``radius``, without those to ``skip``."""
         if self.root is None:
             return []
         found, stack, children = [], [self.root], self.children
@@ -65,7 +66,7 @@ class BkTree:
                 for edge, child in below.items():
                     if -radius <= edge - d <= radius:
                         stack.append(child)
-        return found
+        return [v for v in found if not skip(v)] if skip else found
 
 
 def local_links(values: list[int], radius: int) -> list[tuple[int, int]]:
@@ -168,8 +169,7 @@ def sharded_links(keys: DataFrame, radius: float, shard_rows: int = SHARD_ROWS,
     """
     spark = keys.sparkSession
     sizes = keys.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    # Always a merge join, whose hot keys Spark can split: the other side grows with the input too.
-    keyed = keys.join(sizes.hint("merge"), "shard").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
+    keyed = joined_apart(keys, sizes, "shard").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("shard", "parts", "part", "id")
     keyed = materialize(keyed, "shards")
 
@@ -202,7 +202,7 @@ def sharded_links(keys: DataFrame, radius: float, shard_rows: int = SHARD_ROWS,
     roots = components(links)
     joined = hot.join(roots, hot["id"] == roots["node"], "left").select("shard", "parts", "part", "id", F.coalesce("root", "id").alias("root"))
     largest = joined.groupBy("shard", "root").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    joined = joined.join(largest, "shard").withColumn("asks", F.col("root") != F.col("main"))
+    joined = joined_apart(joined, largest, "shard").withColumn("asks", F.col("root") != F.col("main"))
     trees = joined.select("shard", "part", "id", "root", F.lit(False).alias("asks"))
     asking = joined.filter("asks").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "root", F.lit(True).alias("asks"))
     both = printed(trees.unionByName(asking).withColumn("bucket", F.xxhash64("shard", "part")).select("bucket", "id", "root", "asks"))
@@ -221,13 +221,12 @@ def sharded_links(keys: DataFrame, radius: float, shard_rows: int = SHARD_ROWS,
             for v, a in zip(values, asks, strict=True):
                 if a:
                     mine = root_of[whole(v)]
-                    for y in tree.within(whole(v), radius):
-                        if root_of[y] != mine:
-                            out[mine, root_of[y]] = None
+                    for y in tree.within(whole(v), radius, lambda y, mine=mine: root_of[y] == mine or (mine, root_of[y]) in out):
+                        out[mine, root_of[y]] = None
             yield pairs(list(out))
 
     more = both.mapInArrow(across, "u long, v long").distinct()
-    return links.unionByName(more)
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
 
 
 def distinct_links(values: DataFrame, radius: int, bands: int = 6, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -242,13 +241,22 @@ def distinct_links(values: DataFrame, radius: int, bands: int = 6, shard_rows: i
     return sharded_links(keys, radius, shard_rows)
 
 
+def bands_for(values: int, radius: int, shard_rows: int = SHARD_ROWS) -> int:
+    """Bands with which ``values`` evenly spread fingerprints make shards of ``shard_rows`` at most:
+    more bands make smaller shards, but more keys of each fingerprint."""
+    bands = radius + 2
+    while bands < 2 * radius + 2 and values >> (64 * (bands - radius) // bands) > shard_rows:
+        bands += 1
+    return bands
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     words: int = 4,
     radius: int = 4,
-    bands: int = 6,
+    bands: int | None = None,
     seed: int = SEED,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
@@ -259,11 +267,13 @@ def near_duplicates(
     fingerprint zero and are linked like any other; repeated rows stay; a null id gets a
     component like any other row's, null only if all of its ids are null; an empty table gives
     an empty result; other columns are not read. Null ids count as larger than all others.
+    ``bands`` only decides on the cost (see :func:`bands_for`), never on the result.
     """
     picked = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     made = materialize(fingerprints(picked, "text", words, seed).select("doc_id", "fingerprint"), "fingerprints")
     nodes = made.groupBy(F.col("fingerprint").alias("value")).agg(F.min("doc_id").alias("least"))
     nodes = materialize(nodes, "nodes")
+    bands = bands or bands_for(nodes.count(), radius)
     roots = components(distinct_links(nodes.select("value"), radius, bands, shard_rows))
     rooted = nodes.join(roots, nodes["value"] == roots["node"], "left").select("value", "least", F.coalesce("root", "value").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
