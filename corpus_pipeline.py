@@ -20,8 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that spread over many sources. Copies and near copies of a
     text vote once, so a text that was copied stays whole for :func:`near_dedup`."""
-    families = nearcopies.near_copy_groups(docs).select("text_key", F.col("group").alias("family"))
-    return linededup.remove_widespread_lines(docs, families=families)
+    return linededup.remove_widespread_lines(docs, copies_once=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
