@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -34,37 +33,37 @@ def chunks_of(text: str) -> list[str]:
     return text.split()
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte: bytes that print stand for
-    themselves, the others take the code points from 256 on, in order."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in plain else next(spare)) for b in range(256)]
+#: Fixed value: the one normalizer whose steps :class:`WordSplitter` knows not to look across white space.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
 
 
 class WordSplitter:
-    """What a vocabulary file with word ends does before the merges."""
+    """What a vocabulary file with word ends does before the merges.
+
+    Plain ASCII is split here. For all else the library's own normalizer and splitter are asked,
+    whose Unicode version is not that of Python's tables.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
+        steps = self.spec["normalizer"] or {}
+        if [n["type"] for n in steps.get("normalizers", [steps])] != NORMALIZER:
+            raise ValueError(f"{path} does not normalize texts as {', '.join(NORMALIZER)}")
+        library = Tokenizer.from_file(path)
+        self._normalized, self._split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self.most_id = max([*self.spec["model"]["vocab"].values(), *self.special.values()])
         split = next(p for p in self.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._words = regex.compile(split["pattern"]["Regex"]).findall
         self._marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self._bytes = byte_symbols()
-
-    def symbols(self, word: str) -> str:
-        """A word's bytes, each as its printable character."""
-        if word.isascii() and word.isprintable():
-            return word
-        return "".join([self._bytes[b] for b in word.encode("utf-8")])
 
     def words(self, part: str) -> list[str]:
-        if not part.isascii():
-            part = unicodedata.normalize("NFC", part)
-            if "Σ" in part:  # str.lower() looks at a sigma's place, the library does not
-                part = "".join(map(str.lower, part))
+        """The words of a part of a chunk, each as the printable characters of its bytes."""
+        if not (part.isascii() and part.isprintable()):
+            return [symbols for symbols, _ in self._split(self._normalized(part))]
         part = part.lower()
         return [part] if part.isalpha() else self._words(part)
 
@@ -77,7 +76,7 @@ class ChunkEncoder:
 
     def __init__(self, splitter: WordSplitter, merge: Callable[[str], list[int]]):
         """``merge`` gives the ids of one word, which comes as byte symbols."""
-        self._split, self._merge = splitter, merge
+        self._split, self._merge, self.most_id = splitter, merge, splitter.most_id
         self._chunks: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
 
@@ -104,7 +103,7 @@ class ChunkEncoder:
         return found
 
     def _new_word(self, word: str) -> bytes:
-        found = np.array(self._merge(self._split.symbols(word)), dtype="<u4").tobytes()
+        found = np.array(self._merge(word), dtype="<u4").tobytes()
         if len(word) <= KEPT_LENGTH and len(self._words) < KEPT_WORDS:
             self._words[word] = found
         return found
