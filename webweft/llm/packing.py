@@ -208,8 +208,9 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 #: Tokens that a packing task of :func:`pack_best_fit_decreasing` holds at once.
 BLOCK_TOKENS = 4_000_000
-#: A sequence that is filled less is taken apart again and packed with the next block.
-FILLED = 0.98
+#: A sequence that is filled less is taken apart and packed again with the next block, once, and only
+#: as long as what is kept for that is no more than this share of a block.
+FILLED, KEPT_OVER = 0.98, 0.5
 
 PACKED = "sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
 
@@ -233,8 +234,8 @@ def pack_best_fit_decreasing(
     longer than ``capacity`` can be put together again from their pieces without loss.
 
     Each task packs the rows of its own partition in blocks of ``block_tokens``, so ids are
-    never shuffled and memory is bounded; sequences left badly filled are opened again
-    with the next block. Null and empty texts are one end id, repeated rows are packed each, a
+    never shuffled and a task holds one block and one text at most; some sequences left badly
+    filled are opened again with the next block, the worst first, each piece once. Null and empty texts are one end id, repeated rows are packed each, a
     null id stays null, an empty table gives no row; other columns are not read.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
@@ -246,7 +247,9 @@ def pack_best_fit_decreasing(
         number = (context.partitionId() if context else 0) << 36
         encoder = library_encoder(path)
         end = np.array([end_id], np.uint16)
-        held: list[tuple[int | None, int, np.ndarray]] = []
+        if max(encoder.most_id, end_id, pad_id) > 65_535:
+            raise ValueError("ids are kept in 16 bits, but the vocabulary has larger ones")
+        held: list[tuple[int | None, int, np.ndarray, bool]] = []  # the last: kept over from the block before
         tokens = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
@@ -255,15 +258,16 @@ def pack_best_fit_decreasing(
             sequence, offset = best_fit_decreasing(lengths, capacity)
             order = np.lexsort((offset, sequence))
             cuts = np.flatnonzero(np.diff(sequence[order], prepend=-1, append=-1)).tolist()
-            again, rows = [], []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                own = [held[i] for i in order[a:b].tolist()]
+            again, rows, room = [], [], 0 if last else int(KEPT_OVER * block_tokens)
+            groups = [[held[i] for i in order[a:b].tolist()] for a, b in zip(cuts, cuts[1:], strict=False)]
+            for own in sorted(groups, key=lambda g: sum(len(p[2]) for p in g)):
                 cu = np.cumsum([0] + [len(p[2]) for p in own])
-                if not last and cu[-1] < FILLED * capacity:
-                    again += own
+                if cu[-1] < FILLED * capacity and cu[-1] <= room and not any(p[3] for p in own):
+                    again += [(*p[:3], True) for p in own]
+                    room -= int(cu[-1])
                     continue
                 ids, position = np.full(capacity, pad_id, "<u2"), np.zeros(capacity, "<u2")
-                for (_, _, part), at in zip(own, cu.tolist(), strict=False):
+                for (_, _, part, _), at in zip(own, cu.tolist(), strict=False):
                     ids[at : at + len(part)] = part
                     position[at : at + len(part)] = np.arange(len(part), dtype=np.uint16)
                 rows.append((number, int(cu[-1]), [p[0] for p in own], [p[1] for p in own], cu.tolist(), ids.tobytes(), position.tobytes()))
@@ -278,7 +282,7 @@ def pack_best_fit_decreasing(
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.concatenate([np.frombuffer(encoder.ids_bytes(text.as_py()), "<u4").astype(np.uint16), end])
-                held += [(doc_id, at, ids[at : at + capacity]) for at in range(0, len(ids), capacity)]
+                held += [(doc_id, at, ids[at : at + capacity], False) for at in range(0, len(ids), capacity)]
                 tokens += len(ids)
                 if tokens >= block_tokens:
                     yield from flush(False)
@@ -298,12 +302,19 @@ def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def write_packed(df: DataFrame, path: str) -> None:
-    """Write packed sequences as Parquet files: fixed-width binary rows that map onto matrices."""
+    """Write packed sequences as Parquet files: fixed-width binary rows that map onto matrices.
+
+    A folder that is there already is an error; no sequence gives files without rows.
+    """
     df.write.mode("errorifexists").parquet(path)
 
 
 def unpack(packed: DataFrame) -> DataFrame:
-    """The pieces of packed sequences: ``doc_id, start, length, ids`` (16-bit ids), natively."""
+    """The pieces of packed sequences: ``doc_id, start, length, ids`` (16-bit ids), natively.
+
+    Padding is left out; documents with a null id keep it; repeated rows give a piece each; no
+    sequence gives no piece.
+    """
     segments = packed.select("ids", F.posexplode("doc_ids").alias("k", "doc_id"), "starts", "cu_seqlens")
     at, end = F.col("cu_seqlens")[F.col("k")], F.col("cu_seqlens")[F.col("k") + 1]
     return segments.select("doc_id", F.col("starts")[F.col("k")].alias("start"), (end - at).cast("long").alias("length"), F.col("ids").substr(2 * at + 1, 2 * (end - at)).alias("ids"))
