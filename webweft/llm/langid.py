@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 from .common import fresh_name, named
 
 UNDETERMINED = "und"
-#: Training rows for each language in expectation, of at most so many characters, and languages:
-#: together they bound what the driver collects to fit the classifiers.
-SAMPLE_ROWS = 400
-SAMPLE_CHARS = 20_000
-MOST_LANGUAGES = 200
+#: Training rows for each language in expectation, and characters of each; with many languages fewer
+#: of both, for MOST_ROWS and MOST_CHARS bound what the driver collects to fit the classifiers.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
+MOST_ROWS, MOST_CHARS = 80_000, 64_000_000
 #: n-grams of 1 to ORDERS characters fall into 2^HASH_BITS cells.
 ORDERS, HASH_BITS = 4, 16
 #: Words of the snippets that are cut from training texts, for short texts to be calibrated too.
@@ -148,31 +147,42 @@ def held_out(id_col):
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % HOLDOUT == 0
 
 
+def sample_bounds(languages: int) -> tuple[int, int]:
+    """Rows for each of so many languages, and characters of each row."""
+    rows = max(1, min(SAMPLE_ROWS, MOST_ROWS // languages))
+    return rows, max(1, min(SAMPLE_CHARS, MOST_CHARS // (rows * languages)))
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit a model to a sample of the labelled rows that are not held out.
 
-    The sample takes SAMPLE_ROWS rows of each language in expectation, chosen by a hash of id and
-    text, of at most SAMPLE_CHARS characters. Rows without text, letter or label teach nothing.
+    Every language is sampled, its rows by a hash of id and text, within :func:`sample_bounds` in
+    expectation; of a longer text a piece is taken, from a place that the hash says. Rows without
+    text, letter or label teach nothing. The driver gets a count of each label and the sample.
     """
     rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"), df[lang_col].cast("string").alias("lang"))
-    rows = rows.filter("text is not null and lang is not null").filter(~held_out(F.col("id")))
-    rows = rows.filter(F.length("text").between(1, SAMPLE_CHARS))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = rows.filter("text <> '' and lang is not null").filter(~held_out(F.col("id")))
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return fit([])
-    million = 1_000_000
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(million))
+    each, chars = sample_bounds(len(counts))
+    whole = 1 << 62
+    draw = F.xxhash64("id", "text").bitwiseAND(F.lit(whole - 1))
     share = None
     for r in counts:
-        most = min(million, -(-million * SAMPLE_ROWS // r["count"]))
+        most = min(whole, -(-whole * each // r["count"]))
         share = (F if share is None else share).when(F.col("lang") == r["lang"], F.lit(most))
-    return fit([(r["text"], r["lang"]) for r in rows.filter(draw < share.otherwise(0)).select("text", "lang").collect()])
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
+    picked = rows.filter(draw < share.otherwise(0)).select(F.col("text").substr(at.cast("int"), F.lit(chars)).alias("text"), "lang")
+    return fit([(r["text"], r["lang"]) for r in picked.collect()])
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "lang_pred", score: str = "score", ambiguous: str = "ambiguous") -> DataFrame:
     """``df``'s rows with language, score and flag of ambiguity of their whole text.
 
     A map without shuffle. A null text or one without a letter is ``und`` with score 0, flagged.
+    Repeated rows stay, an empty table gives an empty one; columns of ``df`` that have one of
+    the new names give way to them.
     """
 
     @F.pandas_udf(f"{out} string, {score} double, {ambiguous} boolean")
@@ -183,15 +193,16 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "lan
 
     found = fresh_name(df, "_found")
     made = df.withColumn(found, classify(named(text_col).cast("string")))
-    return made.select(*map(named, df.columns), f"{found}.*")
+    taken = {c.lower() for c in (out, score, ambiguous)}
+    return made.select(*(named(c) for c in df.columns if c.lower() not in taken), f"{found}.*")
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, held_out, lang_pred, score, ambiguous`` of every row, learnt from the others' labels.
 
     Neither label, source nor id enters a prediction. Null texts and texts without a letter are
-    ``und``; a null id is not held out of training unless the CRC of nothing says so; repeated
-    rows stay; an empty table gives an empty result; without any label all are ``und``.
+    ``und``; a null id counts as the empty text, whose CRC is 0, and so is held out; repeated rows
+    stay; an empty table gives an empty result; without any label all are ``und``.
     """
     model = train(df, id_col, text_col, lang_col)
     rows = df.select(df[id_col].cast("long").alias("doc_id"), held_out(df[id_col]).alias("held_out"), df[text_col].cast("string").alias("text"))
