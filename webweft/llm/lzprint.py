@@ -22,8 +22,11 @@ from .common import shuffle_partitions
 KEPT = 128
 #: Characters that a bucket of neighbouring documents holds on average.
 BUCKET_CHARS = 16_000_000
-#: Relative error of the bucket borders' ranks.
-BORDER_ERROR = 0.001
+#: Buckets at most: their borders and first ids are what the driver gets and the tasks are sent (under
+#: 10 MB). Beyond, buckets grow; a task sorts its bucket on disk and holds two documents of it.
+MOST_BUCKETS = 100_000
+#: Ids that the borders are drawn from, for each bucket.
+SAMPLE_IDS = 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -123,12 +126,16 @@ class _Parsed:
         return text, found
 
 
-def borders(ids: DataFrame, buckets: int) -> list[int]:
-    """Ids that part the table into about ``buckets`` ranges of equal counts."""
+def borders(ids: DataFrame, rows: int, buckets: int) -> list[int]:
+    """Ids that part a table of ``rows`` rows into about ``buckets`` ranges of equal counts, from a
+    sample of about SAMPLE_IDS ids a range that a hash of the id chooses."""
     if buckets < 2:
         return []
-    found = ids.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], min(BORDER_ERROR, 0.25 / buckets))
-    return sorted({int(x) for x in found})
+    whole = 1 << 62
+    share = min(whole, -(-whole * SAMPLE_IDS * buckets // max(1, rows)))
+    drawn = ids.filter(F.xxhash64("doc_id").bitwiseAND(F.lit(whole - 1)) < share).select("doc_id").distinct()
+    found = np.sort(drawn.toArrow().column(0).to_numpy())
+    return np.unique(found[[len(found) * i // buckets for i in range(1, buckets)]]).tolist() if len(found) else []
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -145,15 +152,18 @@ def fingerprint_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
     a table is its own next; an empty table gives an empty result; other columns are not read.
 
     Documents are dealt into id ranges, so each task sees a run of neighbours in order, and texts
-    are shuffled once. The driver gets the borders and the first id of each range only. Rows of
-    a range's first id go to the range before it too, whose last document looks ahead at them.
+    are shuffled once. The driver gets a sample of ids and the first id of each of at most
+    MOST_BUCKETS ranges only. Rows of a range's first id go to the range before it too, whose last
+    document looks ahead at them. Ids are taken to tell documents apart: rows of one id follow
+    each other in one task, however many they are.
     """
     spark = df.sparkSession
     docs = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
     if buckets is None:
         chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-        buckets = max(4 * shuffle_partitions(spark), -(-chars // BUCKET_CHARS))
-    cuts = np.array(borders(docs.select("doc_id").filter("doc_id is not null"), buckets), np.int64)
+        buckets = min(MOST_BUCKETS, max(4 * shuffle_partitions(spark), -(-chars // BUCKET_CHARS)))
+    known = docs.select("doc_id").filter("doc_id is not null")
+    cuts = np.array(borders(known, known.count(), buckets), np.int64)
 
     @F.pandas_udf("int")
     def bucket_of(ids):
