@@ -66,6 +66,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def append(df: DataFrame, table: DataFrame) -> None:
+    """Add rows to a table of :func:`materialize`; :func:`reread` gives the table with them."""
+    with shuffles_released(df.sparkSession):
+        df.write.mode("append").parquet(table._webweft_path)
+
+
+def reread(table: DataFrame) -> DataFrame:
+    return table.sparkSession.read.schema(table.schema).parquet(table._webweft_path)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that nothing reads any more."""
     spark, path = df.sparkSession, df._webweft_path

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import append, materialize, reread
 
 #: Query vectors that are sent to the tasks at once: so many, and no more bytes than this.
 BLOCK_QUERIES = 2048
@@ -24,19 +24,21 @@ BLOCK_BYTES = 8 << 20
 BINS_LOG2 = 12
 #: Scores that a task holds at once.
 TILE = 1 << 22
+HITS = "query_id long, rank int, vec_id long, score long"
 
 
 def quantize(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
     """``vec_id, v``: floor(scale * x) of each component as a long, only vectors that take part.
 
-    Vectors that are null or empty or hold a null, NaN or infinite component don't, nor do
-    those of a null id or with a component whose product leaves the exact integers of a double.
+    Vectors that are null or hold a null, NaN or infinite component don't, nor do those of a null
+    id. A component whose product doesn't fit a long is an error when the table is read.
     """
     v = F.col("v0")
     picked = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].cast("array<double>").alias("v0"))
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(1 << 52) / scale)))
-    picked = picked.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine)
-    return picked.select("vec_id", F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    picked = picked.filter(F.col("vec_id").isNotNull() & v.isNotNull() & fine)
+    floor = lambda x: F.when(F.abs(x) * scale < float(1 << 62), F.floor(x * scale).cast("long")).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))
+    return picked.select("vec_id", F.transform(v, floor).alias("v"))
 
 
 class _Scorer:
@@ -60,9 +62,9 @@ class _Scorer:
                 continue
             flat = np.asarray(lists.values)[ends[0] : ends[-1]]
             if same.all():
-                matrix = flat.reshape(-1, self.dims)
+                matrix = flat.reshape(len(ids), self.dims)
             else:
-                matrix = np.stack([flat[a - ends[0] : a - ends[0] + self.dims] for a in ends[:-1][same]])
+                matrix = flat[(ends[:-1][same] - ends[0])[:, None] + np.arange(self.dims)]
                 ids = ids[same]
             for a in range(0, len(ids), rows):
                 yield ids[a : a + rows], (matrix[a : a + rows].astype(self.kind) @ self.vectors).astype(np.int64)
@@ -144,18 +146,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     query's own id are no candidates of it. Vectors that :func:`quantize` leaves out take no
     part; vectors of another length than the query's are not comparable. Repeated candidate rows
     are candidates each; queries that share an id and vector are asked once. Empty tables give
-    an empty result; other columns are not read.
+    an empty result; other columns are not read. Empty vectors have score 0 with each other;
+    products that don't fit a long are an error.
 
     Queries are taken in blocks of about BLOCK_QUERIES or BLOCK_BYTES, the one thing that is broadcast.
     Each block needs a few passes over the candidates (each refines the histograms by
-    2^BINS_LOG2), and its results are written to the shared folder, so a lost executor costs
-    one pass of one block at most.
+    2^BINS_LOG2), and its results are added to one table in the shared folder, so a lost executor
+    costs one pass of one block at most.
     """
     spark = vectors.sparkSession
     candidates = materialize(quantize(vectors, id_col, vec_col, scale), "candidates")
     asked = materialize(quantize(queries, id_col, vec_col, scale).dropDuplicates(), "queries")
     sizes = candidates.groupBy(F.size("v").alias("dims")).agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, F.abs(x)))).alias("most")).collect()
-    out = None
+    out = materialize(spark.createDataFrame([], HITS).coalesce(1), "hits")
     for r in sorted(sizes, key=lambda r: r["dims"]):
         dims, most = r["dims"], r["most"]
         same = asked.filter(F.size("v") == dims)
@@ -171,14 +174,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             block = same.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
             if not block.num_rows:
                 continue
-            scorer = _Scorer(block.column("vec_id").to_numpy(), np.array(block.column("v").to_pylist(), np.int64).reshape(-1, dims), bound)
+            scorer = _Scorer(block.column("vec_id").to_numpy(), np.array(block.column("v").to_pylist(), np.int64).reshape(block.num_rows, dims), bound)
             least = _kth_scores(candidates, scorer, k, bound)
             hits = candidates.mapInArrow(_reaching(scorer, k, least), "query_id long, vec_id long, score long")
-            hits = materialize(_ranked(hits, k), "hits")
-            out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out
+            append(_ranked(hits, k), out)
+    return reread(out)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
