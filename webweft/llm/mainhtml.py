@@ -48,7 +48,7 @@ BLOCKS = frozenset(
 )
 #: Elements whose content is never main text.
 NEVER = frozenset(
-    """aside audio button canvas datalist dialog fieldset footer form head iframe input label map math menu nav noembed
+    """aside audio button canvas datalist dialog fieldset footer form head iframe input label map menu nav noembed
     noframes noscript object script select style svg template textarea title video""".split()
 )
 REGIONS = frozenset(("article", "main"))
@@ -56,11 +56,17 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of class and id that name what is not main text.
 HINTS = frozenset(
-    """ad ads adv advert adverts advertisement advertising aside banner breadcrumb breadcrumbs byline comment commentlist
-    comments consent cookie cookies copyright disclaimer disqus footer gdpr hidden login masthead menu menus modal nav
-    navbar navigation navigator newsletter notice notices notification overlay pager pagination popup promo promoted
-    promotion rail recommended register related replies reply respond search share sharing sidebar signin signup skip social
-    sponsor sponsored sponsors subscribe subscription tags toc toolbar topbar widget widgets""".split()
+    """ad ads adsbygoogle adv advert adverts advertisement advertising aside banner breadcrumb breadcrumbs comment
+    commentlist comments consent cookie cookies disqus footer gdpr hidden login masthead menu menus modal nav navbar
+    navigation navigator newsletter notice notices notification overlay pager pagination popup promo promoted promotion
+    recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored
+    sponsors subscribe subscription toc toolbar topbar widget""".split()
+)
+#: Words that may stand beside them in one name and say nothing of their own, as do numbers and single letters.
+PLACES = frozenset(
+    """area article bar bottom box btn button buttons center col column container content entry fixed form group header icons
+    inner item items left link links list main media outer page panel post posts primary right row secondary section site
+    sticky tertiary thread top unit wrap wrapper zone slot""".split()
 )
 #: Those that only count outside an article, where they may as well name parts of it.
 OUTER_HINTS = frozenset(("header", "notice", "banner"))
@@ -94,11 +100,13 @@ def hidden(attrs: dict[str, str]) -> bool:
 
 
 def hinted(attrs: dict[str, str], inside: bool) -> bool:
-    """Whether a class or id names something other than main text."""
+    """Whether a name of class or id names something other than main text: all of its words are
+    hints or places, and one is a hint. A hint within other words ("tags-explained") is none."""
+    hints = HINTS - OUTER_HINTS if inside else HINTS | OUTER_HINTS
     for key in ("class", "id"):
-        if value := attrs.get(key):
-            words = {w.lower() for w in _HINT_WORDS.findall(value)}
-            if words & HINTS - (OUTER_HINTS if inside else frozenset()) or not inside and "header" in words:
+        for name in (attrs.get(key) or "").split():
+            words = [w.lower() for w in _HINT_WORDS.findall(name) if len(w) > 1]
+            if any(w in hints for w in words) and all(w in hints or w in PLACES for w in words):
                 return True
     return False
 
@@ -113,7 +121,8 @@ def blocks(html: str, hints: bool = True, lifted: frozenset[int] = frozenset())
     stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # name, hard, region, named
     number = 0
     parts: list[str] = []
-    linked, heading, in_link = 0, False, 0
+    linked, heading = 0, False
+    in_link = 0  # open elements where the open link began, and one more; 0 outside links
 
     def flush() -> None:
         nonlocal parts, linked, heading
@@ -124,7 +133,6 @@ def blocks(html: str, hints: bool = True, lifted: frozenset[int] = frozenset())
         parts, linked, heading = [], 0, False
 
     def pop_to(name: str) -> None:
-        nonlocal in_link
         while stack:
             if stack.pop()[0] == name:
                 break
@@ -134,14 +142,16 @@ def blocks(html: str, hints: bool = True, lifted: frozenset[int] = frozenset())
             if stack and stack[-1][0] in NEVER:
                 continue
             parts.append(value)
+            if in_link > len(stack) + 1:  # an element that held the link has ended, and the link with it
+                in_link = 0
             if in_link:
                 linked += len("".join(value.split()))
         elif kind == START:
             if value == "br":
                 parts.append(" ")
                 continue
-            if value == "a":
-                in_link = 1
+            if value == "a":  # without an address it is a mark, not a link
+                in_link = len(stack) + 1 if "href" in attrs else 0
             boundary = value in BLOCKS
             if boundary or value in NEVER:
                 flush()
@@ -200,18 +210,30 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def is_prose(b: Block) -> bool:
+def is_linked(b: Block) -> bool:
+    return b.linked > LINKED * max(1, len(b.text.replace(" ", "")))
+
+
+def knows(page: list[Block]) -> bool:
+    """Whether the stop words tell anything of a page: some block that could be prose has enough. In
+    a language that they don't know, length and link density decide alone."""
+    return any(stop_density(b.text) >= FEW_STOPS for b in page if len(b.text) > LONG and not is_linked(b)) or not any(len(b.text) > LONG and not is_linked(b) for b in page)
+
+
+def is_prose(b: Block, known: bool = True) -> bool:
     """Whether the rules on length, links and stop words take a block for running text."""
-    return len(b.text) > LONG and b.linked <= LINKED * len(b.text.replace(" ", "")) and stop_density(b.text) >= FEW_STOPS
+    return len(b.text) > LONG and not is_linked(b) and (not known or stop_density(b.text) >= FEW_STOPS)
 
 
-def by_rules(b: Block) -> str:
+def by_rules(b: Block, known: bool = True) -> str:
     """A block's label by its own text."""
     n = len(b.text)
-    if b.linked > LINKED * max(1, len(b.text.replace(" ", ""))) or "©" in b.text and n < LONG:
+    if is_linked(b) or "©" in b.text and n < LONG:
         return BAD
     if n < SHORT:
         return BAD if b.linked else SHORT_BLOCK
+    if not known:
+        return GOOD if n > LONG else MIDDLING
     stops = stop_density(b.text)
     prose = stops >= MANY_STOPS or stops >= FEW_STOPS and n > LONG
     return GOOD if prose and n > LONG else BAD if b.linked and stops < FEW_STOPS else MIDDLING
@@ -226,15 +248,16 @@ def first_pass(page: list[Block]) -> None:
     the rules find good stays good outside as well. Elsewhere the rules alone decide.
     """
     free = [b for b in page if not b.barred]
-    weight = [sum(len(b.text) for b in free if b.region == inside and is_prose(b)) for inside in (False, True)]
+    known = knows(free)
+    weight = [sum(len(b.text) for b in free if b.region == inside and is_prose(b, known)) for inside in (False, True)]
     trusted = any(b.region for b in free) and weight[1] >= weight[0]
     for b in page:
-        b.label = BAD if b.barred else by_rules(b)
+        b.label = BAD if b.barred else by_rules(b, known)
         if not trusted or b.barred:
             continue
         if not b.region:
             b.label = GOOD if b.label == GOOD else BAD
-        elif b.linked > LINKED * max(1, len(b.text.replace(" ", ""))):
+        elif is_linked(b):
             b.label = SHORT_BLOCK
         elif b.label != BAD or len(b.text) < SHORT and "©" not in b.text or not weight[1]:
             b.label = GOOD
@@ -323,7 +346,8 @@ def extract(df: DataFrame, html_col: str = "html", out: str = "text", length: st
     """``df``'s rows with their page's main text and its number of code points.
 
     The whole page counts. Null and empty pages, and those without main text, give the empty
-    string and 0. Repeated rows stay, an empty table gives an empty one. A map without shuffle.
+    string and 0. Repeated rows stay, an empty table gives an empty one; columns of ``df`` that
+    have one of the new names give way to them. A map without shuffle.
     """
 
     @F.pandas_udf("string")
