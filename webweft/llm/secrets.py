@@ -21,10 +21,16 @@ BODY = r"[A-Za-z0-9+/_\-]{%d,}(?:\.[A-Za-z0-9_\-]{4,})*={0,2}"
 #: What a name and a sign announce: the run between its quotes or delimiters, whatever it is made of.
 SIGN = r"(?::=|=>|={1,3}|:)"
 NAMED_VALUE = r"""(?:^|%s)[(\[{<]*(?:"([^"]{%d,})|'([^']{%d,})|`([^`]{%d,})|([^\s"'`=:][^\s"'`]{%d,}?)(?=["'`,;.)\]}>!?]*$))"""
+#: The password within an address, and a private key with its header; both are told by their form.
+ADDRESS = r"://[^/\s:@]*:([^@\s/]{%d,})@" % LEAST_NAMED
+PEM = r"(-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z0-9 ]*PRIVATE KEY-----|$))"
 MASK = "[SECRET]"
 
 #: Words that name secrets, words that name other long codes, stand-ins.
-NAMES = r"(?i)(pass(word|wd|phrase)?\b|pwd|secret|token|api.?key|access.?key|auth|credential|private.?key|bearer|client.?key)"
+NAMES = (
+    r"(?i)(pass(word|wd|phrase)?\b|pwd|secret|token|api.?key|access.?key|auth|credential|private.?key|bearer|client.?key"
+    r"|pass?wort|kennwort|geheim|schl(ü|ue)ssel|zugangs|mot.?de.?passe|\bpasse\b|\bmdp\b|jeton|cl(é|e)f?.?(api|secr|priv|d.acc)|contrase(ñ|n)a|\bclave|credencial|identifiant)"
+)
 OTHER_NAMES = r"(?i)(sha-?\d|md5|hash|digest|checksum|commit|uuid|guid|integrity|etag|revision|isbn|serial|version|base64|image|font|invoice|order|card|phone)"
 STAND_INS = r"(?i)(example|sample|dummy|your|xxxx|placeholder|changeme|redacted|1234567|abcdef|test|todo|\*\*\*)"
 #: A small dictionary whose words make identifiers and paths, not secrets.
@@ -68,7 +74,7 @@ def candidates(words: Column) -> Column:
     ``words`` is an array column. ``before`` is the two words before and what stands before the
     candidate in its own. A candidate is a run of LEAST characters of BODY, or, where a name and a
     sign announce it, any run of LEAST_NAMED between its quotes or delimiters (and each run
-    of BODY with a digit).
+    of BODY with a digit). The password of an address counts as announced.
     """
     value_of = NAMED_VALUE % (SIGN, LEAST_NAMED, LEAST_NAMED, LEAST_NAMED, LEAST_NAMED - 1)
 
@@ -81,7 +87,7 @@ def candidates(words: Column) -> Column:
     def is_place(i: Column) -> Column:
         w = F.get(words, i)
         long = F.length(w) >= LEAST
-        return (F.length(w) >= LEAST_NAMED) & ((long & w.rlike(BODY % LEAST)) | announced(w, word(words, i - 1), word(words, i - 2)))
+        return (F.length(w) >= LEAST_NAMED) & ((long & w.rlike(BODY % LEAST)) | announced(w, word(words, i - 1), word(words, i - 2)) | w.rlike(ADDRESS))
 
     def at(i: Column) -> Column:
         w, one, two = F.get(words, i), word(words, i - 1), word(words, i - 2)
@@ -93,8 +99,10 @@ def candidates(words: Column) -> Column:
         own = F.when(signed, F.regexp_replace(w, "^[^=:]*(?=[=:])", "")).otherwise(w)
         whole = F.array(*(F.regexp_extract(own, value_of, g) for g in range(1, 5)))
         whole = F.filter(whole, lambda c: (c != "") & named_here & (signed | ~w.rlike("[=:>]$") | ~w.rlike(NAMES)) & ~w.contains("://"))
-        found = F.array_distinct(F.concat(whole, runs))
-        return F.transform(found, lambda c: F.struct(c.alias("value"), F.concat_ws(" ", two, one, F.call_function("substring_index", w, c, F.lit(1))).alias("before"), word(words, i + 1).alias("after")))
+        inner = F.filter(F.array(F.regexp_extract(w, ADDRESS, 1)), lambda c: c != "")
+        found = F.array_distinct(F.concat(whole, F.array_except(runs, inner)))
+        told = F.transform(inner, lambda c: F.struct(c.alias("value"), F.concat_ws(" ", two, one, F.lit("password:")).alias("before"), word(words, i + 1).alias("after")))
+        return F.concat(told, F.transform(found, lambda c: F.struct(c.alias("value"), F.concat_ws(" ", two, one, F.call_function("substring_index", w, c, F.lit(1))).alias("before"), word(words, i + 1).alias("after"))))
 
     places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), is_place)
     return F.flatten(F.transform(places, at))
@@ -156,7 +164,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         return f"replace(base64(unhex({h(name)})), '=', '')"
 
     pick = lambda name, *xs: f"element_at(array({', '.join(repr(x) for x in xs)}), cast(pmod(xxhash64('{name}', id), {len(xs)}) + 1 as int))"
-    key = pick("k", "token", "secret", "api_key", "password", "access_key", "auth_token", "client_secret", "TOKEN", "API_KEY", "Bearer", "credential")
+    key = pick("k", "token", "secret", "api_key", "password", "access_key", "auth_token", "client_secret", "TOKEN", "API_KEY", "Bearer", "credential", "Passwort", "Kennwort", "mot de passe", "contraseña", "clave")
     sign = pick("s", " = ", "=", ": ", ":", " := ")
     quote = pick("q", '"', "", "`")
     word = pick("w", "the", "and", "de", "la", "und", "die", "for", "release", "see", "value", "section", "item")
@@ -167,6 +175,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     phrase = f"concat_ws({pick('pj', '', '', '-')}, {parts('p2')}, {parts('p3')}, {parts('p4')})"
     mark = lambda n: pick(n, "@", "!", "#", "$", "%", "&", "*", "^")
     broken = f"concat({pick('b1', 'P', 'Wi', 'dr', 'Su', 'Qx')}, {mark('m1')}, substr({b64('r')}, 1, 2 + cast(pmod(id, 3) as int)), {mark('m2')}, {pick('b2', 'w0rd', 'nter', 'gon', 'mmer', 'kLp')}, {mark('m3')}, substr({b64('t')}, 1, 1 + cast(pmod(id, 4) as int)))"
+    human = f"concat({pick('hu', 'hunter', 'dragon', 'monkey', 'sommer', 'soleil', 'amigos', 'tigre', 'Winter', 'shadow')}, cast(10 + pmod(xxhash64('hn', id), 9990) as string), {pick('hs', '', 'x', '!', 'qz')})"
     prose = pick("pr", "required", "something", "forgotten", "important", "available", "international", "notwendig", "Verfahren", "différent", "necesario", "security", "management", "Authentication", "expired,", "invalid.")
     code = pick("co", "request.headers", "getPassword(user)", "process.env.API_KEY", "os.environ[TOKEN]", "config.get(name)", "settings.secret_key", "this.props.token", "undefined", "${API_TOKEN}", "<password>", "***********")
     true = [
@@ -183,6 +192,8 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         f"concat({key}, {sign}, {quote}, {letters}, {quote})",
         f"concat({key}, {sign}, {quote}, {phrase}, {quote})",
         f"concat({key}, {sign}, {quote}, {broken}, {quote})",
+        f"concat({pick('sc', 'postgres', 'mysql', 'https', 'redis', 'amqp')}, '://', {pick('us', 'admin', 'root', 'app', 'deploy')}, ':', CASE WHEN pmod(xxhash64('uh', id), 2) = 0 THEN concat({human}, 'ab') ELSE substr({b64('pu')}, 1, 8 + cast(pmod(id, 9) as int)) END, '@db.example.net/', {word})",
+        f"concat({key}, {sign}, {quote}, {human}, {quote})",
     ]
     ident = f"concat_ws({pick('j', '_', '-', '')}, {pick('i1', 'user', 'image', 'content', 'project', 'The')}, {pick('i2', 'Settings', 'Header', 'Version', 'Template', 'thereing')}, {pick('i3', 'Manager', 'Controller', 'Index', 'Storage', 'Gallery')}, cast(pmod(id, 97) as string))"
     uuid = f"concat_ws('-', substr({h('u')}, 1, 8), substr({h('u')}, 9, 4), substr({h('u')}, 13, 4), substr({h('u')}, 17, 4), substr({h('u')}, 21, 12))"
@@ -260,7 +271,8 @@ def train(labelled: DataFrame, trees: int = 12, depth: int = 6, seed: int = 17,
 def scan(df: DataFrame, forest: Forest, text_col: str = "text", least_score: float = 0.5, findings_col: str = "findings") -> DataFrame:
     """``df`` with the array ``findings_col`` of ``value, score, secret``, one per candidate.
 
-    Whole texts are looked at. Null and empty texts have no finding and get an empty array.
+    Whole texts are looked at. A private key with its header is one finding by its form alone, with
+    score 1; all others are judged by the forest. Null and empty texts have no finding and get an empty array.
     Repeated rows stay, an empty table gives an empty one. A map: no join, no shuffle.
     """
     words, found, described = (fresh_name(df, n) for n in ("_w", "_found", "_described"))
@@ -269,13 +281,20 @@ def scan(df: DataFrame, forest: Forest, text_col: str = "text", least_score: flo
     step = step.withColumn(described, F.transform(named(found), lambda c: F.struct(c["value"].alias("value"), *(x.alias(n) for n, x in zip(FEATURES, features(c), strict=True)))))
     scored = F.transform(named(described), lambda f: F.struct(f["value"].alias("value"), forest.score(f).alias("score")))
     judged = F.transform(scored, lambda s: F.struct(s["value"].alias("value"), s["score"].alias("score"), (s["score"] >= least_score).alias("secret")))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    keys = F.when(text.contains("PRIVATE KEY-----"), F.regexp_extract_all(text, F.lit(PEM), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    judged = F.concat(F.transform(keys, lambda k: F.struct(k.alias("value"), F.lit(1.0).alias("score"), F.lit(True).alias("secret"))), judged)
     # A generator of one row: conditions on the findings are then not pushed below, where the
     # optimizer would repeat the whole forest for each of them.
     return step.withColumn(findings_col, F.explode_outer(F.array(judged))).drop(words, found, described)
 
 
 def redact(df: DataFrame, text_col: str = "text", findings_col: str = "findings") -> DataFrame:
-    """``df`` with each secret of ``findings_col`` masked in its text, longest first."""
+    """``df`` with each secret of ``findings_col`` masked in its text wherever it stands, longest first.
+
+    A null text stays null, a text without a secret as it is; repeated rows stay, an empty table
+    gives an empty one. Each different secret costs a search of its text.
+    """
     secrets = F.array_distinct(F.transform(F.filter(named(findings_col), lambda x: x["secret"]), lambda x: x["value"]))
     ordered = F.transform(F.array_sort(F.transform(secrets, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
     masked = F.aggregate(ordered, named(text_col).cast("string"), lambda t, s: F.replace(t, s, F.lit(MASK)))
