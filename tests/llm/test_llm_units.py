@@ -257,3 +257,89 @@ def test_main_text():
     assert mainhtml.main_text(bare) == f"Heading {prose.strip()} Short one. {prose.strip()}"
 
 
+def test_main_text_of_odd_pages():
+    prose = ("The cat sat on the mat and it was good for all of us. " * 5).strip()
+    assert mainhtml.main_text(f"<article><a name=top><p>{prose}</p><p>{prose}</p></article>") == f"{prose} {prose}"  # a mark, never closed
+    unclosed = mainhtml.main_text(f"<article><p>{prose}</p><p>See <a href=x>more<p>{prose}</p><p>{prose}</p></article>")
+    assert unclosed == f"{prose} See more {prose} {prose}"
+    foreign = "これは日本語の文章です。今日は天気がとても良いので散歩に行きました。" * 18
+    assert mainhtml.main_text(f"<nav><a href=/>x</a></nav><div><p>{foreign} <a href=/b>続き</a></p></div>") == f"{foreign} 続き"
+    named = f"<main><p>{prose}</p><div class=tags-explained><p>{prose}</p></div><div id=ad-hoc-teams><p>{prose}</p></div><div class='col ad-box-2'>{prose}</div></main>"
+    assert mainhtml.main_text(named) == f"{prose} {prose} {prose}"
+    assert mainhtml.main_text(f"<article><p>{prose} And <math><mi>x</mi></math> is it.</p></article>") == f"{prose} And x is it."
+    assert mainhtml.main_text(f"<article>{'<div>' * 3000}{prose}{'</div>' * 3000}</article>") == prose
+
+
+def test_both_passes_decide_blocks_in_articles(monkeypatch):
+    asked = []
+    monkeypatch.setattr(mainhtml, "stop_density", lambda text, real=mainhtml.stop_density: asked.append(text) or real(text))
+    prose = "The cat sat on the mat and it was good for all of us. " * 5
+    page = mainhtml.blocks(f"<body><article><h1>Heading</h1><p>{prose}</p><p><a href=x>All of our offers</a></p><p>{prose}</p></article><div>{prose}</div><p><a href=y>Imprint of the site</a></p></body>")
+    mainhtml.first_pass(page)
+    assert asked and [b.label for b in page].count(mainhtml.SHORT_BLOCK) == 1
+    mainhtml.second_pass(page)
+    assert [b.label for b in page] == ["good", "good", "good", "good", "good", "bad"]
+
+
+def test_packing_of_lengths_that_never_fill_stays_bounded(monkeypatch):
+    """Documents of 1,100 tokens: half of each sequence stays empty, and no task may wait for better ones."""
+    import pyarrow as pa
+
+    runs = []
+    pack = packing.best_fit_decreasing
+    monkeypatch.setattr(packing, "best_fit_decreasing", lambda lengths, capacity: runs.append(int(lengths.sum())) or pack(lengths, capacity))
+
+    class Frame:
+        """Takes the place of a table: keeps the function of the map."""
+
+        def __getitem__(self, name):
+            return self
+
+        def cast(self, _):
+            return self
+
+        alias = cast
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = packing.pack_best_fit_decreasing(Frame(), block_tokens=40_000)
+    texts = [" ".join(["the"] * (1099 if i % 7 else 5000)) for i in range(300)]
+    out = [b for b in run([pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "text"])])]
+    parts = {}
+    for b in out:
+        for r in b.to_pylist():
+            for d, at, a, z in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+                parts.setdefault(d, []).append((at, np.frombuffer(r["ids"], "<u2")[a:z].tolist()))
+    one = encode.library_encoder(WORDS).ids_bytes("the")
+    the = int(np.frombuffer(one, "<u4")[0])
+    for d, own in parts.items():  # every document, put together again
+        assert [x for _, ids in sorted(own) for x in ids] == [the] * (1099 if d % 7 else 5000) + [0]
+    assert len(parts) == 300 and max(runs) <= 40_000 + 5001 and len(runs) <= 40
+
+
+def test_code_points_encode_as_the_librarys(library, own):
+    encoder = own.encoder()
+    odd = [0x558, 0x58B, 0x88F, 0x1C89, 0x209D, 0xA7CB, 0x10D60, 0x18E1E, 0x130, 0x3A3, 0x1E9E, 0xFB03, 0x2126, 0x85, 0x2028]
+    for c in [*odd, *(x for x in range(0x20, 0x30000, 37) if not 0xD800 <= x < 0xE000)]:
+        text = f"a{chr(c)}B c{chr(c)}"
+        assert np.frombuffer(encoder.ids_bytes(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+def test_every_language_is_sampled_within_bounds():
+    for n in (1, 4, 201, 5000, 10**6):
+        rows, chars = langid.sample_bounds(n)
+        assert rows >= 1 and chars >= 1 and (n > langid.MOST_ROWS or rows * n <= langid.MOST_ROWS and rows * n * chars <= langid.MOST_CHARS)
+
+
+def test_vocabularies_with_another_normalizer_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(WORDS, encoding="utf-8"))
+    spec["normalizer"] = {"type": "NFKC"}
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="normalize"):
+        bpe.WordBpe(str(tmp_path / "other.json"))
