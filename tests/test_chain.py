@@ -101,6 +101,48 @@ def test_paginate(spark):
     assert sorted(r.request["count"] for r in seen) == [1, 2, 3]
 
 
+def test_pagination_counts_exactly_and_keeps_to_no_hidden_limit(spark):
+    start = "http://h/p?page="
+    pages = spark.range(999_998, 1_000_120).select(F.concat(F.lit(start), F.col("id").cast("string")).alias("url"), F.lit("<p>x").alias("html"))
+    chain = w.get(start + "999998").set("p", "p")
+    seen = w.get(start + "999998").paginate({"page": 1}, 3).set("p", "p").to_df(pages, with_request=True).collect()
+    assert sorted(r.request["url"] for r in seen) == sorted(f"{start}{n}" for n in (999_998, 999_999, 1_000_000, 1_000_001))
+    assert chain.to_df(pages).count() == 1
+    with pytest.raises(RuntimeError, match="goes on after 4 pages"):
+        w.get(start + "999998").paginate({"page": 1}, max_pages=4).to_df(pages)
+    assert w.get(start + "999998").paginate({"page": 1}, 3, max_pages=2).to_df(pages).count() == 4  # a limit given wins
+
+
+def test_nested_results_go_back_to_their_own_row(spark, pages):
+    some = spark.createDataFrame([(None, "http://h/set", SET), (7, "http://h/1", PAGES[1][2]), (7, "http://h/set", SET)], "page_id long, url string, html string")
+    df = w.over(some).set({"t": "title", "next": w.follow("a").set("x", "title")}).to_df(pages)
+    got = sorted(((r.page_id, r.t, [x.x for x in r.next]) for r in df.collect()), key=repr)
+    assert got == [(7, "1", ["2", "3"]), (7, "TITLE", ["1", "2"]), (None, "TITLE", ["1", "2"])]
+
+
+def test_rejected_and_empty_documents_are_errors(pages):
+    hook = w.over(pages).filter("title").process_response(lambda html: F.when(html.contains("TITLE"), html))
+    assert rows(hook.find("div").set("d").to_df()) == [(1, "CONTENT")]
+    assert sorted(r.message for r in hook.find("div").errors().collect()).count("(process_response) rejected") == 3
+    assert rows(w.over(pages.withColumn("html", F.lit(" "))).find("p").errors().filter("message like '(parse)%'").select("message").distinct()) == [("(parse) the document is empty",)]
+
+
+def test_sinks_and_log(pages, tmp_path):
+    called = []
+    w.over(pages).find("title").set("t").done(str(tmp_path / "out"), lambda: called.append(1))
+    assert called == [1] and pages.sparkSession.read.parquet(str(tmp_path / "out")).count() == 4
+    chain = w.over(pages).find("a").log("links").set("t")
+    assert chain.to_df().count() == 4 and chain.observed["links"].get["rows"] == 4
+    note = str(tmp_path / "note")
+
+    def seen(row):
+        with open(note, "a") as f:
+            f.write(row["t"] + "\n")
+
+    w.over(pages).find("title").set("t").data(seen)
+    assert sorted(open(note).read().split()) == ["1", "2", "3", "TITLE"]
+
+
 def test_submit_and_login(spark):
     form = w.parse(spark, '<form action="/go" method=POST><input name=u><input type=password name=p><input type=submit name=k></form>', "http://h/x")
     store = spark.createDataFrame(
@@ -167,11 +209,12 @@ def test_live_fetch(spark):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
-    asked = []
+    asked, referers = [], []
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             asked.append(self.path)
+            referers.append((self.path, self.headers.get("Referer"), self.headers.get("X-Own")))
             found = {"/": "<a href=/x>1</a><a href=/x>2</a><a href=/r>3</a><a href=/no>4</a>", "/x": "<title>x</title>"}.get(self.path)
             self.send_response(302 if self.path == "/r" else 200 if found else 404)
             if self.path == "/r":
@@ -188,6 +231,11 @@ def test_live_fetch(spark):
         base = f"http://127.0.0.1:{server.server_port}/"
         df = w.get(base).follow("a").set("t", "title").to_df(w.HttpFetcher(tries=1, concurrency=2), spark=spark)
         assert rows(df) == [("x",)] * 3
-        assert asked.count("/no") == 1
+        assert asked.count("/no") == 1 and ("/x", base, None) in referers
+        asked.clear()
+        referers.clear()
+        nested = w.get(base).set({"n": w.config("headers", {"X-Own": "1"}).follow("a").set("t", "title")}).to_df(w.HttpFetcher(tries=1), spark=spark)
+        assert [x.t for x in nested.first().n] == ["x"] * 3
+        assert asked.count("/") == 1 and ("/", None, None) in referers and ("/x", base, "1") in referers  # asked for once; options hold for the nested chain only
     finally:
         server.shutdown()

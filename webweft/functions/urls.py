@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
 from pyspark.sql import Column
@@ -75,6 +76,12 @@ def with_params(url: str, params: dict) -> str:
     return urlunsplit((parts.scheme, parts.netloc, parts.path, urlencode(own + more), parts.fragment))
 
 
+def leading_integer(text: str) -> int:
+    """The integer that a text's digits and points begin with, 0 without one."""
+    found = re.match("[0-9]+", re.sub("[^0-9.]+", "", text))
+    return int(found[0]) if found else 0
+
+
 def params_of(url: str) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for k, v in parse_qsl(urlsplit(url).query, keep_blank_values=True):

@@ -10,19 +10,23 @@ rows, whose results are gathered by parent, in order, and joined back.
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..dom.selector import compile_selector, link_of
 from ..dom.tree import parsed
 from ..functions import urls
+from ..operators import sinks
 from ..operators.forms import form_request, login_request
 from ..sources.pages import Snapshot, literal
 from . import steps as S
@@ -30,6 +34,8 @@ from .spec import Fn, Node, evaluate, has_remote, is_chain, shape, type_of
 
 #: Pages that an unlimited pagination loads at most, unless told otherwise.
 MOST_PAGES = 100
+#: Bytes of a table of pages from which on it is worth more than one task, and that one task is to parse.
+SMALL_BYTES, TASK_BYTES = 1 << 20, 32 << 20
 
 _PARAMS = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
 _REQUEST = T.StructType().add("i", "integer").add("method", "string").add("url", "string").add("params", _PARAMS).add("error", "string")
@@ -124,7 +130,9 @@ class Chain:
         return replace(self, keeps_partial=True)
 
     def process_response(self, change: Callable[[Column], Column]) -> Chain:
-        """Change the markup of the documents that the operators before have loaded, as a column."""
+        """Change the markup of the documents that the operators before have loaded, as a column.
+        Where it becomes null the document is rejected, and :meth:`errors` says so; null markup
+        that was null before stays without a word."""
         return self._with(S.Note("process_response", change))
 
     def config(self, name: str | dict, value: Any = None) -> Chain:
@@ -146,6 +154,22 @@ class Chain:
     def delay(self, seconds: float) -> Chain:
         return self._with(S.Note("delay", seconds))
 
+    def log(self, name: str = "log") -> Chain:
+        """Count the rows that pass here; :attr:`observed` has the counts after an action."""
+        return self._with(S.Note("log", Observation(name)))
+
+    @property
+    def observed(self) -> dict[str, Observation]:
+        return {s.value._name: s.value for s in self.steps if isinstance(s, S.Note) and s.kind == "log"}
+
+    def data(self, call: Callable[[dict], None], store: Any = None, spark: SparkSession | None = None) -> None:
+        """Run the chain and call a function with each row's data, on the executors."""
+        sinks.data(self.to_df(store, spark), call)
+
+    def done(self, path: str, call: Callable[[], None], store: Any = None, spark: SparkSession | None = None) -> None:
+        """Run the chain, write its rows as Parquet and then call a function once."""
+        sinks.done(self.to_df(store, spark), path, call)
+
     def rewrite(self, *_: Any) -> Chain:
         warnings.warn("rewrite() does nothing; use find(selector).get(function)", DeprecationWarning, stacklevel=2)
         return self
@@ -242,10 +266,10 @@ class Chain:
         fields, names = self.fields, self.data_type.fieldNames()
         array_root = any(isinstance(s, S.SetArray) for s in self.steps)
 
-        @F.udf("string")
-        def render(row):
-            out = {k: v for k in names if (v := shape(row[k], fields[k])) is not None}
-            return json.dumps(out.get("value", []) if array_root else out, ensure_ascii=False)
+        @F.arrow_udf("string")
+        def render(rows: pa.Array) -> pa.Array:
+            found = ({k: v for k in names if (v := shape(row[k], fields[k])) is not None} for row in rows.to_pylist())
+            return pa.array([json.dumps(out.get("value", []) if array_root else out, ensure_ascii=False) for out in found], pa.string())
 
         kept = [c for c in df.columns if c not in names]
         return df.select(*[f"`{c}`" for c in kept], render(F.struct(*[F.col(f"`{n}`") for n in names])).alias("data"))
@@ -290,9 +314,24 @@ def _store(store: Any, options: dict):
     return store.with_options(options) if hasattr(store, "with_options") else store
 
 
+def scoped(store: Any, chain: Chain) -> Any:
+    """The parent's store with a nested chain's own options over it, for that chain only."""
+    return store.with_options(chain.options) if chain.options and hasattr(store, "with_options") else store
+
+
+def _spread(pages: DataFrame) -> DataFrame:
+    """A small table over all cores: a few megabytes of markup lie in one row group, and so would be
+    parsed by one task. Tables with more than TASK_BYTES for each core stay as they are."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.isStreaming:
+        return pages
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return pages.repartition(cores) if SMALL_BYTES <= size <= cores * TASK_BYTES else pages
+
+
 def _started(chain: Chain, store: Any, spark: SparkSession | None) -> _State:
     if chain.pages is not None:
-        pages, keep = chain.pages, [c for c in chain.pages.columns if c not in ("url", "html")]
+        pages, keep = _spread(chain.pages), [c for c in chain.pages.columns if c not in ("url", "html")]
         src = F.col(f"`{chain.key}`").cast("string") if chain.key else F.col("url")
         df = pages.select(*[f"`{c}`" for c in keep], src.alias("_src"), F.col("url").alias("_url"), F.col("html").alias("_html"))
     else:
@@ -319,7 +358,10 @@ def _compile(state: _State, steps: tuple[S.Step, ...], store: Any, nested: bool,
         elif isinstance(s, S.Note):
             if s.kind == "process_response":
                 flush()
-                state.df = state.df.withColumn("_html", s.value(F.col("_html")))
+                state = _processed(state, s.value, errors)
+            elif s.kind == "log":
+                flush()
+                state.df = state.df.observe(s.value, F.count(F.lit(1)).alias("rows"))
         elif isinstance(s, S.Set) and has_remote(s.fields):
             run.append(S.Set({k: _lowered(v) for k, v in s.fields.items()}))
             flush()
@@ -337,6 +379,13 @@ def _compile(state: _State, steps: tuple[S.Step, ...], store: Any, nested: bool,
     return state
 
 
+def _processed(state: _State, change: Callable[[Column], Column], errors: list[DataFrame] | None) -> _State:
+    made = state.df.withColumn("_new", change(F.col("_html")))
+    if errors is not None:
+        errors.append(made.filter("_html is not null and _new is null").select("_src", F.lit("(process_response) rejected").alias("message")))
+    return _State(made.filter("_html is null or _new is not null").drop("_html").withColumnRenamed("_new", "_html"), state.keep, state.fields)
+
+
 # ------------------------------------------------------------------- local segments
 
 
@@ -360,6 +409,8 @@ def _segment(state: _State, steps: tuple[S.Step, ...], nested: bool, errors: lis
         out = []
         for h, u, n, a, b in zip(html.to_pylist(), url.to_pylist(), node.to_pylist(), attr.to_pylist(), before.to_pylist(), strict=True):
             rows, said = [], []
+            if h is None or not h.strip():
+                said.append("(parse) the document is empty")
             if h is not None:
                 start = S.Row(Node(parsed(h, u), (n, a)), json.loads(b) if b else {})
                 for r in S.run_local(steps, start, nested, said):
@@ -440,16 +491,22 @@ def _assembled(spec: Any, local: Column, remote: dict[int, Column]) -> Column:
     return F.concat(*parts)
 
 
-def _gathered(state: _State, chain: Chain, store: Any) -> tuple[DataFrame, list[str]]:
-    """Results of a nested chain by parent row: parent's keys and ``_values``, in order."""
+def _numbered(state: _State) -> _State:
+    """Rows with a number of their own, ``_row``, by which nested results find back to them; written,
+    so that the numbers stay and nothing above is done again for each nested chain."""
+    return _State(_cut(state.df.withColumn("_row", F.monotonically_increasing_id())), state.keep, state.fields)
+
+
+def _gathered(state: _State, chain: Chain, store: Any) -> tuple[DataFrame, str]:
+    """Results of a nested chain by its parent's ``_row``: the number and ``_values``, in order."""
     if chain.keeps_partial:
         raise NotImplementedError("partial() is for nested chains that stay in their document")
-    depth = sum(c.startswith("_parent_src") for c in state.keep)
-    src, order = f"_parent_src{depth}", f"_parent_ord{depth}"
-    parents = state.df.select("*", F.col("_src").alias(src), F.col("_ord").alias(order)).withColumn("_data", F.lit(None).cast("struct<_:boolean>"))
-    parents = parents.drop("_text", *[c for c in state.keep if not c.startswith("_parent_")])
-    inner = _State(parents, [c for c in state.keep if c.startswith("_parent_")] + [src, order], T.StructType())
-    child = _compile(inner, chain.steps, store, True)
+    depth = sum(c.startswith("_parent") for c in state.keep)
+    row = f"_parent{depth}"
+    parents = state.df.select("*", F.col("_row").alias(row)).withColumn("_data", F.lit(None).cast("struct<_:boolean>"))
+    parents = parents.drop("_text", "_row", *[c for c in state.keep if not c.startswith("_parent")])
+    inner = _State(parents, [c for c in state.keep if c.startswith("_parent")] + [row], T.StructType())
+    child = _compile(inner, chain.steps, scoped(store, chain), True)
     if child.fields.fields:
         some = [F.size(F.col("_data")[f.name]) > 0 if isinstance(f.dataType, T.ArrayType) else F.col("_data")[f.name].isNotNull() for f in child.fields.fields]
         value, keep_row = F.col("_data"), F.greatest(*[F.coalesce(s, F.lit(False)) for s in some]) if len(some) > 1 else some[0]
@@ -457,24 +514,25 @@ def _gathered(state: _State, chain: Chain, store: Any) -> tuple[DataFrame, list[
         value, keep_row = F.col("_text"), F.col("_text").isNotNull()
     else:
         value, keep_row = F.lit(None).cast("string"), F.lit(False)
-    rows = child.df.filter(keep_row).select(src, order, F.struct(F.col("_ord").alias("o"), value.alias("v")).alias("_one"))
-    found = rows.groupBy(src, order).agg(F.transform(F.sort_array(F.collect_list("_one")), lambda x: x["v"]).alias("_values"))
-    return found, [src, order]
+    rows = child.df.filter(keep_row).select(row, F.struct(F.col("_ord").alias("o"), value.alias("v")).alias("_one"))
+    found = rows.groupBy(row).agg(F.transform(F.sort_array(F.collect_list("_one")), lambda x: x["v"]).alias("_values"))
+    return found, row
 
 
 def _joined_fields(state: _State, fields: dict, store: Any) -> _State:
     chains = [c for v in fields.values() for c in _remote_chains(v)]
+    state = _numbered(state)
     df, remote = state.df, {}
     for i, chain in enumerate(chains):
-        found, (src, order) = _gathered(state, chain, store)
+        found, row = _gathered(state, chain, store)
         column = f"_values{i}"
         found = found.withColumnRenamed("_values", column)
-        df = df.join(found, (df["_src"] == found[src]) & (df["_ord"] == found[order]), "left").drop(src, order)
+        df = df.join(found, df["_row"] == found[row], "left").drop(row)
         remote[id(chain)] = F.coalesce(F.col(column), F.array().cast(T.ArrayType(chain.result_type)))
     kinds = {k: type_of(v) for k, v in fields.items()}
     columns = [(_assembled(fields[f.name], F.col("_data")[f.name], remote) if f.name in fields else F.col("_data")[f.name]).alias(f.name) for f in state.fields.fields]
     types = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in state.fields.fields])
-    df = df.withColumn("_data", F.struct(*columns)).drop(*[f"_values{i}" for i in range(len(chains))], "_text")
+    df = df.withColumn("_data", F.struct(*columns)).drop(*[f"_values{i}" for i in range(len(chains))], "_text", "_row")
     return _State(df, state.keep, types)
 
 
@@ -483,15 +541,16 @@ def _each(values: Column, name: str) -> Column:
 
 
 def _joined_do(state: _State, chain: Chain, store: Any) -> _State:
-    found, (src, order) = _gathered(state, chain, store)
-    df = state.df.join(found, (state.df["_src"] == found[src]) & (state.df["_ord"] == found[order]), "left").drop(src, order)
+    state = _numbered(state)
+    found, row = _gathered(state, chain, store)
+    df = state.df.join(found, state.df["_row"] == found[row], "left").drop(row)
     kind, many = chain.data_type, chain.merged_many
     values = F.coalesce("_values", F.array().cast(T.ArrayType(chain.result_type)))
     new = {f.name: F.array_compact(_each(values, f.name)) if many else F.get(values, F.lit(0))[f.name] for f in kind.fields}
     old = [f for f in state.fields.fields if f.name not in new]
     data = F.struct(*[F.col("_data")[f.name].alias(f.name) for f in old], *[c.alias(n) for n, c in new.items()])
     types = T.StructType(old + [T.StructField(f.name, T.ArrayType(f.dataType) if many else f.dataType) for f in kind.fields])
-    return _State(df.withColumn("_data", data if old or new else F.col("_data")).drop("_values", "_text"), state.keep, types)
+    return _State(df.withColumn("_data", data if old or new else F.col("_data")).drop("_values", "_text", "_row"), state.keep, types)
 
 
 # ----------------------------------------------------------------------- requests
@@ -543,11 +602,19 @@ def _page_limit(limit: Any, node: Node) -> int | None:
         return _page_limit(limit(node, {}), node)
     if isinstance(limit, str):
         found = node.first(limit)
-        digits = "".join(c for c in found.text() if c.isdigit()) if found else ""
-        return int(digits or 0)
+        return urls.leading_integer(found.text()) if found else 0
     return int(limit)
 
 
+def _added(text: str, by: int | float) -> str:
+    """A parameter's number and ``by``, as exact as decimals are; what is no number counts as 0."""
+    try:
+        total = Decimal(text or "0") + Decimal(str(by))
+    except InvalidOperation:
+        total = Decimal(str(by))
+    return f"{total.normalize():f}" if total else "0"
+
+
 def _next_page(step: S.Request, node: Node, data: dict, params: dict, count: int, made, of_form) -> list[dict]:
     limit = _page_limit(step.limit, node)
     if limit is not None and count > limit:
@@ -565,11 +632,7 @@ def _next_page(step: S.Request, node: Node, data: dict, params: dict, count: int
                     return []
                 new[name] = found.content()
             elif isinstance(value, (int, float)) and not callable(step.target):
-                try:
-                    now = float(params.get(name, [0])[-1] or 0)
-                except ValueError:
-                    now = 0.0
-                new[name] = f"{now + value:g}"
+                new[name] = _added(params.get(name, ["0"])[-1], value)
             else:
                 new[name] = value
         return [made(0, page, new)]
@@ -633,34 +696,46 @@ def _requested(state: _State, step: S.Request, store: Any, errors: list[DataFram
 def _paginated(state: _State, step: S.Request, store: Any, errors: list[DataFrame] | None) -> _State:
     """The current pages and those after them, level by level.
 
-    With a number as limit the levels are one lazy plan; otherwise each level is written as a
-    checkpoint, and the loop ends with the first that is empty or at ``max_pages``.
+    Each level is written before the next is asked for, so a page is parsed and looked up once,
+    however many levels follow. The loop ends with the first empty level or at the limit. Where
+    neither a limit nor the pages end it, more than ``max_pages`` pages are an error.
     """
     fixed = isinstance(step.limit, int) and not isinstance(step.limit, bool)
+    most = step.limit if fixed else step.options["max_pages"] - 1
     columns = [f"`{c}`" for c in state.keep] + [*_BASE, "_data"]
-    level = _State(state.df.select(*columns), state.keep, state.fields)
-    out = level.df
-    for _ in range(min(step.limit, step.options["max_pages"] - 1) if fixed else step.options["max_pages"] - 1):
+    level = _State(_cut(state.df.select(*columns)), state.keep, state.fields)
+    levels = [level.df]
+    for _ in range(most):
         level = _requested(level, step, store, errors, counted=True)
-        if not fixed:
-            level.df = _cut(level.df)
-            if level.df.isEmpty():
-                break
-        out = out.unionByName(level.df.select(*columns))
+        level.df = _cut(level.df.select(*columns))
+        if level.df.isEmpty():
+            break
+        levels.append(level.df)
+    else:
+        if not fixed and not _asked(level, step, None).isEmpty():
+            raise RuntimeError(f"paginate() goes on after {step.options['max_pages']} pages: give a limit, or max_pages")
+    paths = [x._webweft_path for x in levels]
+    out = levels[0].sparkSession.read.schema(levels[0].schema).parquet(*paths)
     return _State(out, state.keep, state.fields)
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder that spark.checkpoint.dir names."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
+    """Write rows into the folder that spark.checkpoint.dir names and read them back: what was fetched
+    is fetched once, and a lost executor takes nothing with it."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="webweft-"))
-    return df.checkpoint()
+        named = "file://" + tempfile.mkdtemp(prefix="webweft-")
+        spark.sparkContext.setCheckpointDir(named)
+    path = f"{named.rstrip('/')}/webweft-rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._webweft_path = path
+    return out
 
 
 def starter(name: str) -> Callable[..., Chain]:

@@ -192,6 +192,102 @@ def q32_errors(spark, sf_dir):
     return _pages(spark, sf_dir).success('//html[@lang="fr"]').errors().select(F.col("_src").cast("long").alias("page_id"), "message")
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The numbered pages, and the same numbers with markup that links to the next one."""
+    pages = _numbered(spark, sf_dir)
+    html = F.concat(F.lit('<title>at</title><a href="/?page_id='), (F.col("page_id") + 1).cast("string"), F.lit('">next</a>'))
+    return pages, pages.withColumn("html", html)
+
+
+def q33_follow(spark, sf_dir):
+    pages, linked = _linked(spark, sf_dir)
+    return Chain().over(linked).follow("a").set("next_title", "title").to_df(Snapshot(pages))
+
+
+def q34_paginate_number(spark, sf_dir):
+    """Pages by a parameter that counts up, two after each seed."""
+    pages = _numbered(spark, sf_dir)
+    seeds = pages.filter(F.col("page_id") % 50 == 0).select(F.col("page_id").alias("seed"), "url", "html")
+    chain = Chain().over(seeds, "seed").paginate({"page_id": 1}, 2)
+    return chain.set("page_id", Fn(lambda n, d: int(n.url.rpartition("=")[2]), T.LongType())).to_df(Snapshot(pages))
+
+
+def q35_select(spark, sf_dir):
+    return _pages(spark, sf_dir).find("body").select("a").set("href", "@href").to_df()
+
+
+def q36_array_root(spark, sf_dir):
+    df = _pages(spark, sf_dir).set(["title", "a@href"]).to_df()
+    return df.select("page_id", F.array_join("value", "|").alias("items"))
+
+
+def q37_post(spark, sf_dir):
+    pages = _numbered(spark, sf_dir)
+    target = F.concat(F.lit(NUMBERED), (F.col("page_id") + 1).cast("string"))
+    return Chain().over(pages).post(target).set("next_title", "title").to_df(Snapshot(pages.withColumn("method", F.lit("POST"))))
+
+
+def q38_login(spark, sf_dir):
+    """Login forms around each page's number; the page is what the right name and password lead to."""
+    pages, number = _numbered(spark, sf_dir), F.col("page_id").cast("string")
+    form = F.concat(F.lit('<form action="/in" method="post"><input type="hidden" name="page_id" value="'), number, F.lit('"><input name="user"><input type="password" name="pass"></form>'))
+    inside = pages.withColumns({"url": F.concat(F.lit("http://snapshot/in?page_id="), number, F.lit("&user=me&pass=secret")), "method": F.lit("post")})
+    return Chain().over(pages.withColumn("html", form)).login("me", "secret").set("title", "title").to_df(Snapshot(inside))
+
+
+def q39_do_follow(spark, sf_dir):
+    pages, linked = _linked(spark, sf_dir)
+    df = Chain().over(linked).set("here", "title").do(Chain().follow("a").set("next_title", "title")).to_df(Snapshot(pages))
+    return df.select("page_id", "here", F.array_join("next_title", "|").alias("next_title"))
+
+
+def q40_query_params(spark, sf_dir):
+    url = F.concat(F.lit("http://h/p?a=1&b=x%20y&a="), F.col("page_id").cast("string"))
+    params = urls.query_params(url)
+    return _table(spark, sf_dir, "pages").select("page_id", params["a"].alias("a"), params["b"].alias("b"))
+
+
+def q41_first_integer(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.first_integer(F.col("url")).alias("n"))
+
+
+def q42_response_type(spark, sf_dir):
+    kinds = F.array(F.lit("text/html; charset=utf-8"), F.lit("application/xhtml+xml"), F.lit("image/png"), F.lit(None).cast("string"))
+    return _table(spark, sf_dir, "pages").select("page_id", urls.response_type(F.get(kinds, (F.col("page_id") % 4).cast("int"))).alias("type"))
+
+
+def q43_parse(spark, sf_dir):
+    return Chain().parse(spark, "<ul><li>one<li>two &amp; three</ul>").find("li").set("item").to_df()
+
+
+def q44_form_matrix(spark, sf_dir):
+    """Controls of each kind: only what the form would send leads to the page."""
+    pages, number = _numbered(spark, sf_dir), F.col("page_id").cast("string")
+    before = (
+        '<form action="/f"><input name="a" value="1"><input type="checkbox" name="b" checked><input type="checkbox" name="c"><select name="d"><option>x<option selected value="y">Y</select>'
+        '<textarea name="e">t u</textarea><input name="g" value="no" disabled><input type="hidden" name="page_id" value="'
+    )
+    form = F.concat(F.lit(before), number, F.lit('"><input type="submit" name="s" value="go"></form>'))
+    sent = pages.withColumn("url", F.concat(F.lit("http://snapshot/f?a=1&b=on&d=y&e=t+u&page_id="), number, F.lit("&s=go")))
+    return Chain().over(pages.withColumn("html", form)).submit("form").set("title", "title").to_df(Snapshot(sent))
+
+
+def q45_paginate_link(spark, sf_dir):
+    """Pages by their link to the next one, as many as the first says."""
+    pages, linked = _linked(spark, sf_dir)
+    linked = linked.withColumn("html", F.concat("html", F.lit("<b>2 more</b>")))
+    seeds = linked.filter(F.col("page_id") % 50 == 0).select(F.col("page_id").alias("seed"), "url", "html")
+    chain = Chain().over(seeds, "seed").paginate("a", "b")
+    return chain.set("page_id", Fn(lambda n, d: int(n.url.rpartition("=")[2]), T.LongType())).to_df(Snapshot(linked))
+
+
+def q46_rejected(spark, sf_dir):
+    """Responses that a hook rejects, as the log has them."""
+    pages = _numbered(spark, sf_dir)
+    chain = Chain().over(pages).process_response(lambda html: F.when(html.contains('lang="fr"'), html))
+    return chain.find("title").errors().select(F.col("_src").cast("long").alias("page_id"), "message")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for n, f in list(globals().items()) if n.startswith("q") and n[1:3].isdigit()}
 
 
@@ -211,6 +307,16 @@ _TEXTS = "regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)"
 _LANG = "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)"
 _LINK_TEXT = f"SELECT page_id, {_decoded('t')} AS link_text FROM (SELECT page_id, unnest({_TEXTS}) AS t FROM pages)"
 
+_NEXT = f"SELECT a.page_id, b.next_title FROM pages a JOIN (SELECT page_id, {_TITLE} AS next_title FROM pages) b ON b.page_id = a.page_id + 1"
+_WALKED = """
+    WITH RECURSIVE r(seed, page_id, d) AS (
+        SELECT page_id, page_id, 1 FROM pages WHERE page_id % 50 = 0
+        UNION ALL
+        SELECT r.seed, p.page_id, r.d + 1 FROM r JOIN pages p ON p.page_id = r.page_id + 1 WHERE r.d < {}
+    )
+    SELECT seed, page_id FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "q01_find_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "q02_find_links": f"SELECT page_id, unnest({_HREFS}) AS href FROM pages",
@@ -231,16 +337,9 @@ ORACLE_SQL: dict[str, str] = {
     "q15_nested_links": f"SELECT page_id, array_to_string({_HREFS}, '|') AS hrefs FROM pages",
     "q16_selector_union": f"SELECT page_id, CAST(0 AS BIGINT) AS i, {_TITLE} AS content FROM pages UNION ALL SELECT page_id, 1, {_decoded(chr(39).join(('regexp_extract(html, ', '<h1>([^<]*)</h1>', ', 1)')))} FROM pages",
     "q17_do_merge": f"SELECT page_id, {_TITLE} AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_links FROM pages",
-    "q18_get_next": f"SELECT a.page_id, b.next_title FROM pages a JOIN (SELECT page_id, {_TITLE} AS next_title FROM pages) b ON b.page_id = a.page_id + 1",
+    "q18_get_next": _NEXT,
     "q19_nested_get": f"SELECT a.page_id, a.title, b.title AS next_title FROM (SELECT page_id, {_TITLE} AS title FROM pages) a LEFT JOIN (SELECT page_id, {_TITLE} AS title FROM pages) b ON b.page_id = a.page_id + 1",
-    "q20_paginate_param": """
-        WITH RECURSIVE r(seed, page_id, d) AS (
-            SELECT page_id, page_id, 1 FROM pages WHERE page_id % 50 = 0
-            UNION ALL
-            SELECT r.seed, p.page_id, r.d + 1 FROM r JOIN pages p ON p.page_id = r.page_id + 1 WHERE r.d < 4
-        )
-        SELECT seed, page_id FROM r
-    """,
+    "q20_paginate_param": _WALKED.format(4),
     "q21_internal_links": f"""
         SELECT page_id, CAST(len(list_filter({_HREFS}, lambda h: regexp_extract(regexp_extract(url, '^(https?://[^/]+)', 1) || h, '^https?://([^/]+)', 1)
                          = regexp_extract(url, '^https?://([^/]+)', 1))) AS BIGINT) AS n
@@ -256,5 +355,24 @@ ORACLE_SQL: dict[str, str] = {
     "q28_first_last": f"SELECT page_id, {_HREFS}[1] AS first, {_HREFS}[-1] AS last FROM pages",
     "q29_repeated_set": f"SELECT page_id, {_TITLE} || '|' || {_LANG} AS v FROM pages",
     "q30_submit": f"SELECT page_id, {_TITLE} AS title FROM pages",
+    "q31_title_source": f"""
+        SELECT page_id, regexp_extract(html, '<meta[^>]*>') AS source,
+               replace({_decoded("regexp_extract(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)")}, '&', '&amp;') AS html
+        FROM pages
+    """,
+    "q33_follow": _NEXT,
+    "q34_paginate_number": _WALKED.format(3),
+    "q35_select": f"SELECT page_id, unnest({_HREFS}) AS href FROM pages",
+    "q36_array_root": f"SELECT page_id, {_TITLE} || '|' || array_to_string({_HREFS}, '|') AS items FROM pages",
+    "q37_post": _NEXT,
+    "q38_login": f"SELECT page_id, {_TITLE} AS title FROM pages",
+    "q39_do_follow": f"SELECT a.page_id, 'at' AS here, coalesce(b.title, '') AS next_title FROM pages a LEFT JOIN (SELECT page_id, {_TITLE} AS title FROM pages) b ON b.page_id = a.page_id + 1",
+    "q40_query_params": "SELECT page_id, CAST(page_id AS VARCHAR) AS a, 'x y' AS b FROM pages",
+    "q41_first_integer": "SELECT page_id, coalesce(TRY_CAST(regexp_extract(regexp_replace(url, '[^0-9.]+', '', 'g'), '^([0-9]+)', 1) AS INTEGER), 0) AS n FROM pages",
+    "q42_response_type": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'xml' WHEN 2 THEN 'image/png' END AS type FROM pages",
+    "q43_parse": "SELECT CAST(0 AS BIGINT) AS page_id, unnest(['one', 'two & three']) AS item",
+    "q44_form_matrix": f"SELECT page_id, {_TITLE} AS title FROM pages",
+    "q45_paginate_link": _WALKED.format(3),
+    "q46_rejected": "SELECT page_id, '(process_response) rejected' AS message FROM pages WHERE NOT contains(html, 'lang=\"fr\"')",
     "q32_errors": "SELECT page_id, '(success) //html[@lang=\"fr\"] not found' AS message FROM pages WHERE NOT regexp_matches(html, '<html lang=\"fr\"')",
 }

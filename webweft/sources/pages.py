@@ -80,7 +80,8 @@ class HttpFetcher:
     Off unless given to a chain. Each URL is asked for once and the answers are joined back, so
     repeated links cost one request. ``user_agent`` may be a function, called once per request.
     Proxies are taken in turn; one that fails is not tried again for that request. ``delay``
-    spaces the requests of a task, in seconds. A redirect's last URL becomes the document's.
+    spaces the requests of a task, in seconds. A redirect's last URL becomes the document's. The
+    document that asks is the referer.
     """
 
     tries: int = TRIES
@@ -116,12 +117,13 @@ class HttpFetcher:
         def load(batches: Iterator) -> Iterator:
             for pdf in batches:
                 got = []
-                for url, method in zip(pdf["_furl"], pdf["_fmethod"], strict=True):
-                    got.append(settings.fetch(url, method))
+                for url, method, referer in zip(pdf["_furl"], pdf["_fmethod"], pdf["_from"], strict=True):
+                    got.append(settings.fetch(url, method, referer))
                     time.sleep(settings.delay)
-                yield pdf.assign(_nurl=[g[0] for g in got], _nhtml=[g[1] for g in got], _status=[g[2] for g in got])
+                yield pdf.drop(columns="_from").assign(_nurl=[g[0] for g in got], _nhtml=[g[1] for g in got], _status=[g[2] for g in got])
 
-        asked = requests.select(F.col("_rurl").alias("_furl"), F.col("_method").alias("_fmethod")).distinct().repartition(self.concurrency)
+        # Of the documents that ask for a URL, the first by its own is the referer.
+        asked = requests.groupBy(F.col("_rurl").alias("_furl"), F.col("_method").alias("_fmethod")).agg(F.min("_url").alias("_from")).repartition(self.concurrency)
         answers = asked.mapInPandas(load, "_furl string, _fmethod string, _nurl string, _nhtml string, _status int")
         on = (F.col("_rurl") == F.col("_furl")) & (F.col("_method") == F.col("_fmethod"))
         found = requests.join(answers, on, "left" if outer else "inner").drop("_furl", "_fmethod")
@@ -131,7 +133,7 @@ class HttpFetcher:
         fine = F.length("_nhtml") > 0
         return fine if self.ignore_http_errors else fine & ~F.col("_status").between(400, 500)
 
-    def request(self, url: str, method: str):
+    def request(self, url: str, method: str, referer: str | None = None):
         """The request as the standard library knows it: parameters in the body of a post."""
         import base64
         import urllib.request
@@ -142,19 +144,19 @@ class HttpFetcher:
         body = parts.query.encode() if method == "post" else None
         safe = urlunsplit((parts.scheme, parts.netloc, path, "" if method == "post" else quote(parts.query, safe="/%:@!$&'()*+,;=~-._?"), ""))
         agent = self.user_agent() if callable(self.user_agent) else self.user_agent
-        headers = {"User-Agent": agent, **(self.headers or {})}
+        headers = {"User-Agent": agent, **({"Referer": referer} if referer else {}), **(self.headers or {})}
         if self.cookies:
             headers["Cookie"] = "; ".join(f"{k}={v}" for k, v in self.cookies.items())
         if self.auth:
             headers["Authorization"] = "Basic " + base64.b64encode(":".join(self.auth).encode()).decode()
         return urllib.request.Request(safe, data=body, method=method.upper(), headers=headers)
 
-    def fetch(self, url: str, method: str) -> tuple[str, str | None, int | None]:
+    def fetch(self, url: str, method: str, referer: str | None = None) -> tuple[str, str | None, int | None]:
         """URL in the end, body and status; nulls if there was no answer in ``tries`` attempts."""
         import urllib.error
         import urllib.request
 
-        ask, proxies, last = self.request(url, method), list(self.proxies), (url, None, None)
+        ask, proxies, last = self.request(url, method, referer), list(self.proxies), (url, None, None)
         for attempt in range(self.tries):
             redirect = urllib.request.HTTPRedirectHandler()
             redirect.max_redirections = self.redirects
