@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import joined_apart, materialize, release
 
 MOST_ROUNDS = 60
+#: Tables of fewer edges are written by few tasks: each has little to do but to open a file.
+FEW_EDGES, FEW_TASKS = 1_000_000, 8
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,14 +44,18 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(edges, "edges")
     sign = _sign(now)
+
+    def written(edges: DataFrame) -> DataFrame:
+        return materialize(edges.coalesce(FEW_TASKS) if sign[0] < FEW_EDGES else edges, "edges")
+
     for _ in range(MOST_ROUNDS):
         # What a large star (one row for each edge) leaves as it is has no chain of falling nodes; if each
         # node has one smaller neighbour besides, it is made of stars around their smallest nodes.
-        wide = materialize(_star(now, True), "edges")
+        wide = written(_star(now, True))
         if _sign(wide) == sign and now.select("u").distinct().count() == sign[0]:
             release(wide)
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        after = materialize(_star(wide, False).distinct(), "edges")
+        after = written(_star(wide, False).distinct())
         release(now)
         release(wide)
         now, sign = after, _sign(after)
