@@ -148,9 +148,10 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = nodes.select("id", F.posexplode("bands").alias("band", "hash")).select("id", "band", F.xxhash64("band", "hash").alias("shard"))
     met = joined_apart(keyed, keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1").select("shard"), "shard", "left_semi")
     met = materialize(met.select("id", "band", "shard"), "met")
-    # Only sets that meet another are made again; one row of each set has the text.
+    # Only sets that meet another are made again; one row of each set has the text. Always by a merge
+    # join, so that what is shuffled grows with the input and not by a leap where a table gets large.
     asked = materialize(nodes.join(met.select("id").distinct(), "id", "left_semi").select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "id"), "asked")
-    found = texts.join(asked, texts["doc_id"].eqNullSafe(F.col("i")) & (texts["text_key"] == F.col("k"))).select("id", "text").dropDuplicates(["id"])
+    found = texts.join(asked.hint("merge"), texts["doc_id"].eqNullSafe(F.col("i")) & (texts["text_key"] == F.col("k"))).select("id", "text").dropDuplicates(["id"])
     sets = materialize(_mapped(found, ["id"], "print binary", [pa.binary()], lambda s: (packed(s),)), "sets")
 
     def linked(keys: DataFrame) -> DataFrame:
