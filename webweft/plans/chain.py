@@ -623,6 +623,7 @@ def _next_page(step: S.Request, node: Node, data: dict, params: dict, count: int
     if target is None or target is False:
         return []
     page = (node.url or "").split("#")[0]
+    params = params or urls.params_of(page)  # pages of a table were asked for by their URL
     if isinstance(target, dict):
         new = {}
         for name, value in target.items():
