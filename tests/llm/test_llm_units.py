@@ -52,6 +52,14 @@ def test_any_text_encodes_as_the_library_does(text):
     assert np.frombuffer(own.encoder().ids_bytes(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_settled_letters_split_as_the_library_splits_them():
+    splitter, rng = encode.WordSplitter(WORDS), random.Random(5)
+    letters = [chr(c) for c in range(0x20, 0x460) if encode._SETTLED(chr(c))]
+    drawn = ["".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(3000)]
+    for part in [*letters, *("a" + c + "b" for c in letters), *("7" + c + "'s" for c in letters), *drawn]:
+        assert splitter.words(part) == [s for s, _ in splitter._split(splitter._normalized(part))], part
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=30), st.integers(0, 10_000))
 def test_merges_equal_a_plain_search(symbols, seed):

@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable
 
-import numpy as np
 import regex
 
 #: Chunks and words that are kept per Python worker; further ones are encoded each time.
@@ -33,6 +33,10 @@ def chunks_of(text: str) -> list[str]:
     return text.split()
 
 
+#: Printable ASCII, and Latin and Cyrillic letters that are composed already, don't compose with each other, and have had
+#: one lower-case form in every version of Unicode (a dotted capital I has two characters).
+_SETTLED = re.compile("[ -~À-ÖØ-öø-įı-ſЀ-џ]+").fullmatch
+
 #: Fixed value: the one normalizer whose steps :class:`WordSplitter` knows not to look across white space.
 NORMALIZER = ["NFC", "Replace", "Lowercase"]
 
@@ -40,7 +44,7 @@ NORMALIZER = ["NFC", "Replace", "Lowercase"]
 class WordSplitter:
     """What a vocabulary file with word ends does before the merges.
 
-    Plain ASCII is split here. For all else the library's own normalizer and splitter are asked,
+    Printable ASCII and settled letters are split here. For all else the library's own normalizer and splitter are asked,
     whose Unicode version is not that of Python's tables.
     """
 
@@ -59,13 +63,17 @@ class WordSplitter:
         split = next(p for p in self.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._words = regex.compile(split["pattern"]["Regex"]).findall
         self._marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        # Bytes that print stand for themselves, the others take the code points from 256 on, in order.
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self._symbols = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
     def words(self, part: str) -> list[str]:
         """The words of a part of a chunk, each as the printable characters of its bytes."""
-        if not (part.isascii() and part.isprintable()):
+        if not _SETTLED(part):
             return [symbols for symbols, _ in self._split(self._normalized(part))]
         part = part.lower()
-        return [part] if part.isalpha() else self._words(part)
+        words = [part] if part.isalpha() else self._words(part)
+        return words if part.isascii() else [w.encode("utf-8").decode("latin-1").translate(self._symbols) for w in words]
 
     def parts(self, chunk: str) -> list[str]:
         return [p for p in self._marks.split(chunk) if p] if self._marks and "<|" in chunk else [chunk]
@@ -91,19 +99,24 @@ class ChunkEncoder:
             return b"".join([b if (b := kept(c)) is not None else new(c) for c in chunks])
 
     def _new_chunk(self, chunk: str) -> bytes:
-        out = []
-        for part in self._split.parts(chunk):
-            if part in self._split.special:
-                out.append(np.uint32(self._split.special[part]).tobytes())
-            else:
-                out += [self._words.get(w) or self._new_word(w) for w in self._split.words(part)]
-        found = b"".join(out)
+        split, kept, new = self._split, self._words.get, self._new_word
+        if "<|" in chunk:
+            out = []
+            for part in split.parts(chunk):
+                if part in split.special:
+                    out.append(struct.pack("<I", split.special[part]))
+                else:
+                    out += [kept(w) or new(w) for w in split.words(part)]
+        else:
+            out = [kept(w) or new(w) for w in split.words(chunk)]
+        found = out[0] if len(out) == 1 else b"".join(out)
         if len(chunk) <= KEPT_LENGTH and len(self._chunks) < KEPT_CHUNKS:
             self._chunks[chunk] = found
         return found
 
     def _new_word(self, word: str) -> bytes:
-        found = np.array(self._merge(word), dtype="<u4").tobytes()
+        ids = self._merge(word)
+        found = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= KEPT_LENGTH and len(self._words) < KEPT_WORDS:
             self._words[word] = found
         return found
