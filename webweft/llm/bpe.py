@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,13 @@ class WordBpe:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+@lru_cache(1)
+def kept_encoder(path: str) -> tuple[WordBpe, ChunkEncoder]:
+    """The vocabulary of a file and an encoder, which a Python worker keeps from task to task."""
+    bpe = WordBpe(path)
+    return bpe, bpe.encoder()
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -115,11 +123,8 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = SCHEMA + (", ids binary, decoded string" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder = None
         for batch in batches:
-            if encoder is None:
-                bpe = WordBpe(path)
-                encoder = bpe.encoder()
+            bpe, encoder = kept_encoder(path)
             n, ids_sha, text_sha, ids_out, text_out = [], [], [], [], []
             for text in batch.column(1):
                 raw = encoder.ids_bytes(text.as_py())

@@ -12,6 +12,7 @@ import json
 import re
 import struct
 from collections.abc import Callable
+from functools import lru_cache
 
 import regex
 
@@ -122,8 +123,10 @@ class ChunkEncoder:
         return found
 
 
+@lru_cache(1)
 def library_encoder(path: str) -> ChunkEncoder:
-    """A :class:`ChunkEncoder` whose merges are the tokenizers library's."""
+    """A :class:`ChunkEncoder` whose merges are the tokenizers library's. A Python worker keeps it
+    from task to task, with the chunks and words it knows."""
     from tokenizers import Tokenizer
 
     tokenize = Tokenizer.from_file(path).model.tokenize
