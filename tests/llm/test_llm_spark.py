@@ -196,9 +196,9 @@ def test_language_query_on_odd_rows(odd):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("sent", [10_000, 0])
-def test_widespread_lines_go(spark, monkeypatch, sent):
-    monkeypatch.setattr(linededup, "SENT_KEYS", sent)  # 0: lines are joined
+@pytest.mark.parametrize("salts", [linededup.SALTS, 1])
+def test_widespread_lines_go(spark, monkeypatch, salts):
+    monkeypatch.setattr(linededup, "SALTS", salts)
     rows = [(i, f"own line {i}\n  Boiler plate \n\nshared by few", f"site{i}") for i in range(6)] + [(50 + i, f"other {i}\nonly here", f"site{i}") for i in range(5)]
     rows += [(60, None, "site0"), (61, "", "site1"), (62, "Boiler plate", "site1"), (62, "Boiler plate", "site1"), (None, "Boiler plate\nkept", None)]
     rows = [(i, t.replace("shared by few", "shared by few" if i is not None and i < 5 else "x") if t else t, s) for i, t, s in rows]

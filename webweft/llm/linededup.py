@@ -24,8 +24,8 @@ MARGIN = 0.25
 MIN_SHARE = 0.001
 #: A text of which more than this share is lines that recur is a copy itself and has no vote.
 MOST_RECURRING = 0.5
-#: Up to so many widespread lines (80 kB of hashes) are sent to the tasks; more are joined.
-SENT_KEYS = 10_000
+#: Rows of one text are dealt to so many tasks when texts meet their widespread lines.
+SALTS = 16
 
 
 def _lines(text: Column) -> Column:
@@ -102,12 +102,12 @@ def remove_widespread_lines(df: DataFrame, text_col: str = "text", site_col: str
     the families of texts as well (see :func:`widespread_in_families`). A text that is merely
     copied to many sites then keeps its lines.
 
-    Lines' hashes are written once and all counts are made from them. Texts are rewritten where
-    they are: widespread lines are few, and their hashes go to the tasks. Only if there are more
-    than SENT_KEYS, each text is joined with the array of its own widespread lines' hashes. Either
-    way a text is one row at any time.
+    Lines' hashes are written once and all counts are made from them. Each text is then joined
+    with the array of its own widespread lines' hashes, at every size, which shuffles the texts
+    once; a text is one row at any time. Copies of one text are dealt to SALTS tasks by the
+    partition that they come from, and Spark splits what is still too large.
     """
-    own, bad_col = fresh_name(df, "_text_key"), fresh_name(df, "_bad_lines")
+    own, bad_col, salt = (fresh_name(df, c) for c in ("_text_key", "_bad_lines", "_salt"))
     text = named(text_col).cast("string")
     rows = df.select(text.alias("text"), F.xxhash64(named(site_col)).alias("site")).filter("text is not null")
     if copies_once:
@@ -119,17 +119,15 @@ def remove_widespread_lines(df: DataFrame, text_col: str = "text", site_col: str
         lines = materialize(rows.select("site", "text_key", _different_lines(F.col("text"))).select("site", "text_key", "line.key"), "lines")
         found = widespread(lines, min_sites)
     keys = materialize(found, "widespread")
-    sent = [r["key"] for r in keys.limit(SENT_KEYS + 1).collect()]
-    if len(sent) <= SENT_KEYS:
-        step = df
-        touched, is_bad = text.isNotNull(), lambda x: _key(x).isin(sent)
-    else:
-        # Rows of one text have the same lines, so its hash leads back to it (texts that collide would
-        # share their hashes, and a hash only takes out lines that are widespread anyway).
-        bad = lines.join(keys, "key", "left_semi").select("text_key", "key").distinct().groupBy("text_key").agg(F.collect_list("key").alias(bad_col))
-        bad = materialize(bad.withColumnRenamed("text_key", own), "bad-lines")
-        step = df.withColumn(own, F.xxhash64(text)).join(bad, own, "left")
-        touched, is_bad = text.isNotNull() & F.col(bad_col).isNotNull(), lambda x: F.array_contains(F.col(bad_col), _key(x))
+    # Rows of one text have the same lines, so its hash leads back to it (texts that collide would
+    # share their hashes, and a hash only takes out lines that are widespread anyway). Always by a
+    # salted merge join: how many lines are widespread grows with the table.
+    bad = lines.join(keys, "key", "left_semi").select("text_key", "key").distinct().groupBy("text_key").agg(F.collect_list("key").alias(bad_col))
+    bad = materialize(bad.withColumnRenamed("text_key", own), "bad-lines")
+    salted = bad.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    step = df.withColumn(own, F.xxhash64(text)).withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    step = step.join(salted.hint("merge"), [own, salt], "left")
+    touched, is_bad = text.isNotNull() & F.col(bad_col).isNotNull(), lambda x: F.array_contains(F.col(bad_col), _key(x))
     kept = F.filter(_lines(text), lambda x: ~is_bad(x))
     new_text = F.when(touched, F.array_join(kept, "\n")).otherwise(text)
     out = {c: (new_text.alias(c) if c == text_col else named(c)) for c in df.columns}
