@@ -8,7 +8,7 @@ import pytest
 from webweft.queries import ORACLE_SQL, QUERIES
 
 CUT = ["token = &quot", "token = &quo", "a &amp", "a &am", "&ampquot; b&", "&copy 2 &middot 3", "&quot;a&quot; &amp;quot; &amp;amp; &copy; &middot;", "&amp&quot;&ampere;"]
-NAMES = ["q01_find_title", "q44_form_matrix", "q09_h1_text", "q14_set_multi", "q16_selector_union", "q17_do_merge", "q18_get_next", "q19_nested_get", "q29_repeated_set", "q30_submit", "q33_follow", "q36_array_root", "q37_post", "q38_login"]
+NAMES = ["q01_find_title", "q44_form_matrix", "q09_h1_text", "q14_set_multi", "q16_selector_union", "q17_do_merge", "q18_get_next", "q19_nested_get", "q29_repeated_set", "q30_submit", "q33_follow", "q36_array_root", "q37_post", "q38_login", "q39_do_follow"]
 
 
 @pytest.fixture(scope="module")
